@@ -20,7 +20,7 @@ from pairloom.session import Scratch, spread, table
 
 # Words for kinds of streets, by where the name stands, and for countries, units and house numbers.
 NAME_BEFORE = {
-    "street": ["street", "st"], "road": ["road", "rd"], "lane": ["lane", "la", "ln"], "drive": ["drive", "dr", "drv"],
+    "street": ["street", "st", "str"], "road": ["road", "rd"], "lane": ["lane", "la", "ln"], "drive": ["drive", "dr", "drv"],
     "square": ["square", "sq"], "court": ["court", "ct", "crt"],
 }
 NAME_AFTER = {
@@ -28,10 +28,10 @@ NAME_AFTER = {
     "plaza": ["plaza", "pza", "pl"],
 }
 NAME_EITHER = {
-    "avenue": ["avenue", "ave", "av", "avenida", "avda"], "ulitsa": ["ulitsa", "ul", "ulica"],
+    "avenue": ["avenue", "ave", "av", "avenida", "avda"], "street": ["ulitsa", "ul", "ulica", "str"],
     "pereulok": ["pereulok", "per"], "prospekt": ["prospekt", "prosp", "pr", "pr-t", "prkt"],
 }
-SUFFIXES = {"strasse": ["strasse", "str"], "weg": ["weg"], "platz": ["platz", "plz", "pl"], "allee": ["allee", "al"]}
+SUFFIXES = {"street": ["strasse", "str"], "weg": ["weg"], "platz": ["platz", "plz", "pl"], "allee": ["allee"]}
 COUNTRIES = [
     "united states of america", "united states", "united kingdom", "great britain", "russian federation", "germany",
     "deutschland", "spain", "espana", "france", "russia", "rossija", "rossiya", "u.s.a.", "u.s.", "u.k.", "usa", "us",
@@ -46,8 +46,8 @@ _SUFFIX = [(s, k) for k, ss in SUFFIXES.items() for s in sorted(ss, key=len, rev
 _COUNTRY = re.compile(r"(?<![\w.])(?:" + "|".join(re.escape(c) for c in COUNTRIES) + r")(?![\w-]|\.\w)\.?")
 _UNIT = re.compile(r"(?:(?<!\w)(?:" + "|".join(UNITS) + r")\b\.?|#)\s*\d+[a-z]?\b")
 _PREFIXED = re.compile(r"(?<!\w)(?:usa|us|uk|gb|ru|es|de|fr)\s*-\s*(?=\d)")
-_HOUSE = re.compile(r"(?<!\w)(?:" + "|".join(HOUSES) + r")\.?\s*(\d{1,5})\s*-?\s*([a-z]?)(?!\w)")
-_NUMBER = re.compile(r"(?<!\w)(\d{1,5})(?:\s?-\s?)?([a-z]?)(?!\w)")
+_HOUSE = re.compile(r"(?<!\w)(?:" + "|".join(HOUSES) + r")\.?\s*(\d{1,5})(?:\s*-?\s*([a-d]))?(?!\w)")
+_NUMBER = re.compile(r"(?<!\w)(\d{1,5})(?:\s?-?\s?([a-d]))?(?!\w)")
 _SIX = re.compile(r"(?<![\w-])(?:(\d{2})-(\d{4})|(\d{6}))(?![\w-])")
 _THREES = re.compile(r"(?<![\w-])\d{3}(?: \d{3})+(?![\w-])")
 
@@ -57,6 +57,7 @@ def _clean(text: str) -> str:
     text = re.sub(r"(?<=[a-zа-яё])(?=[A-ZА-ЯЁ])", " ", text)  # a separator got lost between two words
     text = latin(re.sub(r"[\n\r\t]+", " ; ", text))
     text = re.sub(r"(?<=\d)(?=[^\W\d_]{2})|(?<=[a-z])(?=\d)", " ", text)
+    text = re.sub(r"(?<!\d)(\d{1,3})(\d{6})(?!\d)", r"\1 \2", text)
     return re.sub(r"\s+", " ", text).strip()
 
 
@@ -98,10 +99,10 @@ def _houses(body: str):
     """Each number that can be the house's, and the words without it."""
     m = _HOUSE.search(body)
     if m:
-        yield m[1].lstrip("0") + m[2], body[: m.start()] + " \0 " + body[m.end() :]
+        yield m[1].lstrip("0") + (m[2] or ""), body[: m.start()] + " \0 " + body[m.end() :]
         return
     for m in _NUMBER.finditer(body):
-        yield m[1].lstrip("0") + m[2], body[: m.start()] + " \0 " + body[m.end() :]
+        yield m[1].lstrip("0") + (m[2] or ""), body[: m.start()] + " \0 " + body[m.end() :]
 
 
 def _streets(body: str):
@@ -134,8 +135,8 @@ def _readings(words: list[str], i: int, w: str):
         if w.endswith(suffix) and len(w) > len(suffix) + 2:
             yield w[: -len(suffix)], kind, {i}
             return
-    if w in ("strasse", "str", "weg", "platz", "allee") and i and words[i - 1] != "\0":
-        yield words[i - 1], {"str": "strasse"}.get(w, w), {i - 1, i}
+    if w in ("strasse", "weg", "platz", "allee") and i and words[i - 1] != "\0":
+        yield words[i - 1], {"strasse": "street"}.get(w, w), {i - 1, i}
 
 
 def form_keys(street: str, house: str, town: str, code: str) -> list[str]:
