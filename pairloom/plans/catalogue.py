@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pairloom.plans import skew
+from pairloom.plans import evaluation, profiling, skew
 
-_MODULES = [skew]
+_MODULES = [skew, evaluation, profiling]
 
 QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 SQL = {k: v for m in _MODULES for k, v in m.SQL.items()}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return skew.p4_by_key(spark, sf_dir)
+    return evaluation.matcher_report(spark, sf_dir)
