@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from pairloom.functions.text import normalize_text, prop, token_key, years
 
@@ -12,7 +13,7 @@ from pairloom.functions.text import normalize_text, prop, token_key, years
 NAME_WEIGHT, COUNTRY_BONUS, DATE_BONUS, YEAR_BONUS = 0.7, 0.1, 0.2, 0.1
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def _best_ratio(left: pd.Series, right: pd.Series) -> pd.Series:
     """Largest matching-blocks ratio of any pair of keys, from left to right, as the ratio isn't symmetric."""
     from difflib import SequenceMatcher

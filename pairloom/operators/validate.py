@@ -62,7 +62,7 @@ def check_json(df: DataFrame, column: str, required: list[str], keys_matter: boo
     """
     ok = F.try_parse_json(column)
     broken = ok.isNull() & F.col(column).isNotNull()
-    lacks = [F.count_if(~broken & F.get_json_object(column, f"$.{k}").isNull()).alias(f"lacks_{k}") for k in required]
+    lacks = [F.count_if(ok.isNotNull() & F.get_json_object(column, f"$.{k}").isNull()).alias(f"lacks_{k}") for k in required]
     out = df.agg(F.count(column).alias("n"), F.count_if(broken).alias("n_broken"), *lacks)
     valid = F.col("n_broken") == 0
     for k in required if keys_matter else []:
