@@ -7,35 +7,50 @@ blanks at its ends and runs of them reduced. Case, spelling, word order and miss
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pairloom.llm.textforms import invisible, multi_forms, single_forms
+from pairloom.llm.textforms import LOOKALIKES, invisible, multi_forms, single_forms
 from pairloom.operators.entities import real_id, sides
 from pairloom.session import Scratch, table
 
 
+#: Forms that names are often typed in: full-width signs and letters.
+USUAL = frozenset(map(chr, range(0xFF01, 0xFF5F)))
+
+
 def quoted(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
 
 def form_sql(column: str) -> str:
     """The DuckDB expression for the form of a text column; null stays null."""
-    # the class is written with escapes, so that no invisible character is lost on the way
+    forms, several = single_forms(), multi_forms()
+    usual = {a: b for a, b in forms.items() if a in LOOKALIKES or a in USUAL or unicodedata.category(a) in ("Zs", "Cc")}
+    rare = {a: b for a, b in forms.items() if a not in usual}
+    swap = lambda x, t: f"translate({x}, {quoted(''.join(t))}, {quoted(''.join(t.values()))})"
+    x = swap(f"regexp_replace({column}, {quoted(char_class(invisible()))}, '', 'g')", usual)
+    spelled = swap(x, rare)
+    for a, b in several.items():
+        spelled = f"replace({spelled}, {quoted(a)}, {quoted(b)})"
+    # translate reads its whole table for each value: the long one only where a value has a character of it
+    x = f"CASE WHEN regexp_matches({column}, {quoted(char_class([*rare, *several]))}) THEN {spelled} ELSE {x} END"
+    tidy = lambda y: f"trim(regexp_replace({y}, ' +', ' ', 'g'))"
+    return f"CASE WHEN regexp_full_match({column}, '[ -~]*') THEN {tidy(column)} ELSE {tidy(f'nfc_normalize({x})')} END"
+
+
+def char_class(chars) -> str:
+    """A regular expression's class of characters, written with escapes, so that none is lost on the way."""
     ranges, run = [], None
-    for c in sorted(map(ord, set(invisible()))):
+    for c in sorted(map(ord, set(chars))):
         if run and c == run[1] + 1:
             run[1] = c
         else:
             ranges.append(run := [c, c])
-    cls = "".join(rf"\x{{{a:x}}}-\x{{{b:x}}}" for a, b in ranges)
-    x = f"regexp_replace({column}, {quoted('[' + cls + ']')}, '', 'g')"
-    forms = single_forms()
-    x = f"translate({x}, {quoted(''.join(forms))}, {quoted(''.join(forms.values()))})"
-    for a, b in multi_forms().items():
-        x = f"replace({x}, {quoted(a)}, {quoted(b)})"
-    return f"trim(regexp_replace(nfc_normalize({x}), ' +', ' ', 'g'))"
+    return "[" + "".join(rf"\x{{{a:x}}}-\x{{{b:x}}}" for a, b in ranges) + "]"
 
 
 def with_form(df: DataFrame, column: str, out: str) -> DataFrame:

@@ -2,10 +2,11 @@ from pyspark.sql import functions as F
 
 from pairdata import ent, pairs
 from pairloom.llm.looks import name_values, same_look, with_form
+from pairloom.llm.textforms import multi_forms, single_forms
 
 CASES = [
     ("Наrаr Gölсаlеrѕ", "Harar Gölcalers"), ("Ｎｅｌｂ Ｉｎｖ．", "Nelb Inv."), ("a​b­c﻿", "abc"),
-    ("Göl", "Göl"), ("x y　z q", "x y z q"), ("ﬁn", "fin"), ("  two  blanks ", "two blanks"),
+    ("Göl", "Göl"), ("x y　z q", "x y z q"), ("ﬁn", "fin"), ("𝐀ﬃx", "Affix"), ("  two  blanks ", "two blanks"),
     ("", ""), (None, None), ("МОΝΑ", "MONA"), ("é‍e", "ée"), ("plain", "plain"), ("Ё'", "Ë'"), ("東京", "東京"),
     ("e" * 20000 + "​", "e" * 20000), ("quo'te \"x\"", "quo'te \"x\""),
 ]
@@ -17,6 +18,12 @@ def test_forms(spark):
     assert [got[i] for i in range(len(CASES))] == [b for _, b in CASES]
 
 
+def test_tables_don_t_chain():
+    forms = single_forms()
+    assert not set("".join(forms.values())) & set(forms) and not set("".join(multi_forms().values())) & (set(forms) | set(multi_forms()))
+    assert not any(c.isascii() and c.isprintable() for c in forms)
+
+
 def test_pairs_of_ids(spark):
     rows = [
         (ent("a", "Harar"), ent("b", "Наrаr", name=["other", None, ""]), "positive"),
