@@ -5,6 +5,7 @@ Tables of more than a few dozen entries are built from the Unicode database by r
 
 from __future__ import annotations
 
+import re
 import sys
 import unicodedata
 from functools import lru_cache
@@ -116,25 +117,37 @@ def _scripts() -> tuple[set[str], set[str]]:
     return alike, every - alike
 
 
+@lru_cache
+def _gone() -> dict[int, None]:
+    return {ord(c): None for c in invisible()}
+
+
+_CYRILLIC, _MARKS = re.compile("[\u0400-\u045f]"), re.compile("[\u0300-\u036f]+")
+_LETTERS = [("ß", "ss"), ("ł", "l"), ("ø", "o"), ("đ", "d"), ("ı", "i")]
+_ASCII_SPACES = {9: " ", 10: " ", 11: " ", 12: " ", 13: " "}
+
+
 def latin(text: str) -> str:
     """Lower-case Latin writing without accents. Cyrillic words are transliterated; a letter of another script amid Latin
     ones, or a word of look-alikes only in a text without real Cyrillic, is taken for the letter it looks like."""
-    alike, real = _scripts()
-    gone = {ord(c): None for c in invisible()}
-    text = text.translate(gone)
-    truly = any(c in real for c in text)
-    if truly or any(c in alike for c in text):
+    if text.isascii():
+        return text.translate(_ASCII_SPACES).lower()
+    if _CYRILLIC.search(text):
+        alike, real = _scripts()
+        text = text.translate(_gone())
+        truly = any(c in real for c in text)
         words, out = text.split(" "), []
         for w in words:
             has_latin = any(c.isalpha() and ord(c) < 0x250 for c in w)
-            cyrillic = any(c in real for c in w) or (truly and not has_latin)
-            if cyrillic:
+            if any(c in real for c in w) or (truly and not has_latin):
                 w = "".join(CYRILLIC.get(c.lower(), c) for c in w)
             out.append(w)
         text = " ".join(out)
-    text = unicodedata.normalize("NFD", text.translate(python_forms()).lower())
-    text = "".join(c for c in text if not unicodedata.combining(c))
-    return text.replace("ß", "ss").replace("ł", "l").replace("ø", "o").replace("đ", "d").replace("ı", "i")
+    text = _MARKS.sub("", unicodedata.normalize("NFD", text.translate(python_forms()).lower()))
+    for a, b in _LETTERS:
+        if a in text:
+            text = text.replace(a, b)
+    return text
 
 
 def phonetic(word: str) -> str:
