@@ -28,7 +28,7 @@ RADIUS = 3
 WORDS, LETTERS = 16, 40
 #: Least matching weight of a passage, least after the weight of what differs within it is taken off, and least share of
 #: the passage's rarity, which tells a copied passage from one that shares its stock phrases.
-MATCHED, NET, RARE = 0.85, 0.7, 0.75
+MATCHED, NET, RARE = 0.85, 0.7, 0.86
 #: Characters of items that one broadcast index may hold.
 BLOCK_CHARS = 20_000_000
 #: Tokens whose windows are hashed at once.
@@ -48,14 +48,30 @@ def _patterns():
 _HASHES: dict[str, int] = {}
 
 
+@lru_cache
+def _special():
+    """Characters whose form differs, a pattern of plain words, and the characters of texts for which it will do."""
+    import re
+
+    scripts = [*range(0x300), *range(0x370, 0x483), *range(0x48A, 0x590)]
+    signs = [*range(0x2010, 0x205F), *range(0x20A0, 0x20C0), *range(0x2190, 0x2C00), *range(0x1F000, 0x20000), 0xFE0F, 0x200D]
+    return frozenset(chr(c) for c in python_forms() if c >= 0x80), re.compile(r"[^\W_]+"), frozenset(map(chr, scripts + signs))
+
+
 def tokens(text: str) -> list[str]:
     """The tokens of a text, in one form for all writings."""
     import unicodedata
 
-    flat = text.translate(python_forms()) if not text.isascii() else text
-    if not flat.isascii():
-        flat = unicodedata.normalize("NFC", flat)
-    return _patterns()[0].findall(flat.casefold())
+    special, words, plain = _special()
+    if text.isascii():
+        return words.findall(text.lower())
+    used = set(text)
+    if not special.isdisjoint(used):
+        text = text.translate(python_forms())
+        used = set(text)
+    if used <= plain:
+        return words.findall(text.casefold())
+    return _patterns()[0].findall(unicodedata.normalize("NFC", text).casefold())
 
 
 def hashes(toks: list[str]):
@@ -74,23 +90,30 @@ def hashes(toks: list[str]):
     return out
 
 
-def single(toks: list[str]):
-    """Which tokens are single characters of scripts without spaces."""
+def single(toks: list[str], text: str):
+    """Which of a text's tokens are single characters of scripts without spaces."""
     import numpy as np
 
+    if not text or text.isascii() or max(text) < "\u0e00":
+        return np.zeros(len(toks), bool)
     return np.fromiter((t[0] > "฀" and _patterns()[1].match(t) is not None for t in toks), bool, len(toks))
 
 
-def simhashes(h, size: int):
-    """SimHash of every run of ``size`` token hashes."""
+def running_bits(h):
+    """For each of 64 bits in how many of the token hashes up to here it is set."""
+    import numpy as np
+
+    bits = np.unpackbits(h.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1).view(np.int8)
+    total = np.zeros((len(h) + 1, 64), np.uint16)  # differences of neighbours are right even where it wraps
+    np.cumsum(bits, axis=0, dtype=np.uint16, out=total[1:])
+    return total
+
+
+def simhashes(total, size: int, start):
+    """SimHash of the runs of ``size`` tokens at the given starts: the bits that more than half of the tokens have."""
     import numpy as np
 
-    if len(h) < size:
-        return np.empty(0, np.uint64)
-    bits = np.unpackbits(h.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1).astype(np.int8) * 2 - 1
-    total = np.zeros((len(h) + 1, 64), np.int32)
-    np.cumsum(bits, axis=0, dtype=np.int32, out=total[1:])
-    return np.packbits(total[size:] > total[:-size], axis=1).view("<u8").ravel()
+    return np.packbits(2 * (total[start + size] - total[start]) > size, axis=1).view("<u8").ravel()
 
 
 def fingerprints(h, one, owner):
@@ -98,7 +121,7 @@ def fingerprints(h, one, owner):
     import numpy as np
 
     chars = np.concatenate([[0], np.cumsum(one)])
-    at, prints = [], []
+    at, prints, total = [], [], running_bits(h)
     for size in (WINDOW, CHAR_WINDOW):
         if len(h) < size:
             continue
@@ -109,7 +132,7 @@ def fingerprints(h, one, owner):
         keep = inside & (many == (size == CHAR_WINDOW))
         if keep.any():
             at.append(start[keep])
-            prints.append(simhashes(h, size)[keep])
+            prints.append(simhashes(total, size, start[keep]))
     if not at:
         return np.empty(0, np.int64), np.empty(0, np.uint64)
     return np.concatenate(at), np.concatenate(prints)
@@ -139,7 +162,7 @@ def build_index(items: list[tuple[int, str]]) -> dict:
     kept, owner_of, pos_of, prints = [], [], [], []
     for item_id, text in items:
         toks = tokens(text or "")
-        h, one = hashes(toks), single(toks)
+        h, one = hashes(toks), single(toks, text or "")
         at, fp = fingerprints(h, one, np.zeros(len(h), np.int8))
         if len(at):
             owner_of.append(np.full(len(at), len(kept)))
@@ -190,7 +213,7 @@ def shares_passage(doc, item, weights, rarity, starts) -> bool:
     """Whether the document's tokens hold a passage of the item that weighs enough; starts: where windows met, ``(i, j)``."""
     import numpy as np
 
-    m = len(item)
+    m, words = len(item), item.tolist()
     mean = float(weights.mean())
     seen = []
     for i, j in starts:
@@ -198,14 +221,28 @@ def shares_passage(doc, item, weights, rarity, starts) -> bool:
         if any(a <= lo and hi <= b for a, b in seen):
             continue
         seen.append((lo, hi))
-        part = doc[lo:hi]
-        if weights[np.isin(item, part)].sum() < MATCHED:
+        part = doc[lo:hi].tolist()
+        there = set(part)
+        have = np.fromiter((t in there for t in words), bool, m)
+        if not _possible(have, weights, rarity, mean):
             continue
-        if _aligned(part.tolist(), item.tolist(), weights.tolist(), rarity.tolist(), mean):
+        if _aligned(part, words, weights.tolist(), rarity.tolist(), mean):
             return True
     return False
 
 
+def _possible(have, weights, rarity, mean: float) -> bool:
+    """Whether some run of the item's tokens can reach the limits if all that the document has of them match in order."""
+    import numpy as np
+
+    if weights[have].sum() < MATCHED:
+        return False
+    run = lambda x: (c := np.concatenate([[0.0], np.cumsum(x)]))[None, :] - c[:, None]
+    mass, net = run(np.where(have, weights, 0.0)), run(np.where(have, weights, -mean))
+    spare = run(np.where(have, (1 - RARE) * rarity, -RARE * rarity))
+    return bool(((mass >= MATCHED - 1e-9) & (net >= NET - 1e-9) & (spare >= -1e-9)).any())
+
+
 def _aligned(part: list[int], item: list[int], weights: list[float], rarity: list[float], mean: float) -> bool:
     """Local alignment, one row per token of the document. A cell holds its net weight, its matching weight, the rarity
     that matched and the rarity of what the item has in between."""
@@ -266,7 +303,7 @@ def leaked(index: dict, ids: list, texts: list[str | None]):
     n = 0
     for doc_id, text in zip(ids, texts, strict=True):
         toks = tokens(text) if text else []
-        h, one = hashes(toks), single(toks)
+        h, one = hashes(toks), single(toks, text or "")
         for lo in range(0, max(len(h) - WINDOW + 1, 0), CHUNK):
             hi = lo + CHUNK + CHAR_WINDOW
             docs.append((doc_id, h[lo:hi], one[lo:hi], lo, h))
