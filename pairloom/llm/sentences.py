@@ -20,12 +20,17 @@ from pyspark.sql import functions as F
 from pairloom.session import spread, table
 
 #: Bounds of the training sample: documents of each kind, and their length.
-TRAIN_DOCS, TRAIN_CHARS = 3000, 20_000
+TRAIN_DOCS, TRAIN_CHARS = 1500, 20_000
+#: So many times the sample are drawn by hash before documents are told apart and sorted.
+OVERSAMPLE = 15
 #: Hashed features of the classifier, passes over the sample and the step.
 DIMENSIONS, PASSES, STEP = 1 << 16, 12, 0.3
 
+#: Without a known width, a shorter line is no wrapped one.
+SHORT_LINE = 40
 ENDS, WIDE_ENDS = ".!?…؟۔।॥", "。！？｡"
 CLOSERS = "\"'”’»›」』）)]】》〉"
+GOING_ON = ",;，、؛،"
 OPENERS = "\"'“‘«‹「『（([【《〈¿¡„"
 
 # Short forms that end in a period, in the languages the classifier meets; it starts from them.
@@ -35,16 +40,20 @@ SHORT_FORMS = set(
     "av г гг т т.е т.д п пп стр см ул д им руб тыс млн г-н د डॉ".split()
 )
 
-_BLANK = re.compile("(?:[^\\S\\r\\n]*(?:\\r\\n|\\n|\\r|\u2028)){2,}[^\\S\\r\\n]*|\u2029")
+_BREAK = "(?:\\r\\n|\\n|\\r|\u2028)"
+_BLANK = re.compile(_BREAK + r"(?:[^\S\r\n]*" + _BREAK + r")+[^\S\r\n]*|" + "\u2029")
 _LINE = re.compile("\\r\\n|[\\n\\r\u2028]")
 _LIST = re.compile(r"[-*•–—▪·◦]\s+\S|\(?\d{1,3}[.)]\s+\S|\(?[a-zA-Z]\)\s+\S")
+_BULLET = re.compile(r"[-*•–—▪·◦]\s+\S")
 _FIELD = re.compile(r"[^\W\d_][^:：.!?。]{0,30}[:：](?:\s+\S|\s*$)")
 _END = re.compile(rf"[{re.escape(ENDS)}]+[{re.escape(CLOSERS)}]*(?=\s|$)|[{re.escape(WIDE_ENDS)}]+[{re.escape(CLOSERS)}]*")
 _THAI = re.compile(r"(?<=[฀-๿])\s+(?=\S)|(?<=\S)\s+(?=[฀-๿])")
+_THAI_LETTER = re.compile("[\u0e00-\u0e7f]")
 _TWO = re.compile(rf"[{re.escape(ENDS)}][{re.escape(CLOSERS)}]*  (?=\S)")
 _THAI_TWO = re.compile(r"(?<=[฀-๿])  (?=\S)|(?<=\S)  (?=[฀-๿])")
 
 
+@lru_cache(maxsize=20_000)
 def _kind(c: str) -> str:
     """The class of a character."""
     o = ord(c) if c else 0
@@ -83,25 +92,57 @@ def _token(t: str) -> str:
 
 
 @lru_cache(maxsize=400_000)
+def _h(s: str) -> int:
+    return zlib.crc32(s.encode())
+
+
+# Features that the prior knows, and how many there are.
+BIAS, SIGN, INITIAL, SHORT, GOES_ON = range(5)
+_X, _Y, _MASK = 0x9E3779B1, 0x85EBCA6B, DIMENSIONS - 1
+
+
+def _place(slot: int, x: int = 0, y: int = 0) -> int:
+    """Where a feature stands: its number and the hashes of what it sees, mixed."""
+    return ((x + slot) * _X + (y ^ slot) * _Y >> 11) & _MASK
+
+
+@lru_cache(maxsize=200_000)
+def _seen_before(before: str, sign: str) -> tuple:
+    """What of the features the token before a mark gives."""
+    core = _token(before).lstrip(OPENERS)
+    last, end, hb = _h(_kind(before[-1:])), _h(core[-4:]), _h(core + sign)
+    initial, short = len(core) == 1 and before[-1:].isupper(), sign == "." and core in SHORT_FORMS
+    dots = 2 * ("." in core) + 4 * ("9" in core)
+    own = (
+        _place(BIAS), _place(INITIAL, initial), _place(SHORT, short), _place(7, last), _place(8, hb), _place(10, end),
+        _place(11, min(len(core), 9)), _place(13, _h(_kind(before[:1]))), _place(14, dots),
+    )
+    return own, last, end, hb
+
+
+@lru_cache(maxsize=200_000)
+def _seen_after(after: str) -> tuple:
+    """What of the features the token after a mark gives."""
+    a = _token(after)
+    bare, kind = a.lstrip(OPENERS), _kind(after.lstrip(OPENERS)[:1])
+    first, inner, ha = _h(_kind(after[:1])), _h(kind), _h(bare[:12])
+    goes_on = kind in ("lower", "hira") or after[:1] in GOING_ON
+    own = (
+        _place(GOES_ON, goes_on), _place(5, first), _place(6, inner), _place(9, ha), _place(12, min(len(bare), 9)), _place(23, after[-1:] == "."),
+    )
+    return own, first, inner, ha, _h(bare[:6]), _h(bare[:4])
+
+
 def features(before: str, mark: str, after: str, then: str) -> tuple[int, ...]:
     """Hashed features of a candidate: the token before, the mark and what closes it, the token after, the one after that."""
-    b, a = _token(before), _token(after)
-    bare, core = a.lstrip(OPENERS), b.lstrip(OPENERS)
-    first, last = _kind(after[:1]), _kind(before[-1:])
-    inner = _kind(after.lstrip(OPENERS)[:1])
-    closed = "c" if mark[-1:] in CLOSERS and mark else ""
     sign = mark.rstrip(CLOSERS)
-    initial = len(core) == 1 and before[-1:].isupper()
-    short = core in SHORT_FORMS
-    names = [
-        "bias", f"sign={sign}{closed}", f"first={first}", f"inner={inner}", f"last={last}", f"before={core}{sign}",
-        f"after={bare[:12]}", f"suffix={core[-4:]}", f"blen={min(len(core), 9)}", f"alen={min(len(bare), 9)}",
-        f"bcase={_kind(before[:1])}", f"adot={after[-1:] == '.'}", f"bdot={'.' in core}", f"bdigit={'9' in core}",
-        f"then={_kind(then[:1])}", f"{core}{sign}|{inner}", f"{core}{sign}|{bare[:12]}", f"{sign}{closed}|{inner}",
-        f"{sign}{closed}|{bare[:6]}", f"{last}|{inner}", f"{core[-4:]}|{bare[:4]}", f"{sign}{closed}|{last}|{first}",
-        f"initial={initial}", f"short={short and sign == '.'}", f"goes_on={inner in ('lower', 'hira') or after[:1] in ',;，、؛،'}",
-    ]
-    return tuple(zlib.crc32(n.encode()) % DIMENSIONS for n in names)
+    own_b, last, end, hb = _seen_before(before, sign)
+    own_a, first, inner, ha, ha6, ha4 = _seen_after(after)
+    closed = _h(sign + "c" if len(sign) < len(mark) else sign)
+    return (
+        *own_b, *own_a, _place(SIGN, closed), _place(15, _h(_kind(then[:1]))), _place(16, hb, inner), _place(17, hb, ha), _place(18, closed, inner),
+        _place(19, closed, ha6), _place(20, last, inner), _place(21, end, ha4), _place(22, closed, last ^ (first << 1)),
+    )
 
 
 def _prior():
@@ -109,8 +150,10 @@ def _prior():
     import numpy as np
 
     w = np.zeros(DIMENSIONS)
-    for name, value in (("bias", 1.5), ("initial=True", -3.0), ("short=True", -3.0), ("goes_on=True", -4.0), ("sign=", -2.0)):
-        w[zlib.crc32(name.encode()) % DIMENSIONS] = value
+    for place, value in (
+        (_place(BIAS), 1.5), (_place(INITIAL, True), -3.0), (_place(SHORT, True), -3.0), (_place(GOES_ON, True), -4.0), (_place(SIGN, _h("")), -2.0),
+    ):
+        w[place] = value
     return w
 
 
@@ -120,7 +163,7 @@ def fit(rows: list[tuple[tuple[int, ...], bool]]):
 
     w = _prior()
     if not rows:
-        return w.astype(np.float32)
+        return w.tolist()
     x, y = np.array([r[0] for r in rows]), np.array([r[1] for r in rows], float)
     start, grad2 = w.copy(), np.full(DIMENSIONS, 1e-6)
     rng = np.random.default_rng(0)
@@ -136,7 +179,7 @@ def fit(rows: list[tuple[tuple[int, ...], bool]]):
             g[hit] += 1e-3 * (w[hit] - start[hit])
             grad2[hit] += g[hit] ** 2
             w[hit] -= STEP * g[hit] / np.sqrt(grad2[hit])
-    return w.astype(np.float32)
+    return w.tolist()
 
 
 def blocks(text: str) -> list[tuple[int, int]]:
@@ -152,7 +195,7 @@ def blocks(text: str) -> list[tuple[int, int]]:
 def runs(text: str, a: int, b: int, width: int) -> list[tuple[int, int, bool]]:
     """A block's runs: ``(start, end, whole)``; whole runs are units, the others running text over wrapped lines.
 
-    A line break is a wrap if the next line's first word had no room on its line.
+    A line break is a wrap if the next line's first word had no room on its line, or if it goes on in lower case.
     """
     lines, at = [], a
     for m in _LINE.finditer(text, a, b):
@@ -163,42 +206,71 @@ def runs(text: str, a: int, b: int, width: int) -> list[tuple[int, int, bool]]:
     if len(lines) == 1:
         s, e = lines[0]
         return [(s, e, _whole(text[s:e].strip()))]
-    limit = width or max(e - s for s, e in lines)
+    texts = [text[s:e].strip() for s, e in lines]
+    limit = width or max(SHORT_LINE, max(map(len, texts)))
+    full = [False] + [_no_room(texts[i - 1], texts[i], limit) for i in range(1, len(lines))] + [False]
     out = []
     for i, (s, e) in enumerate(lines):
-        line = text[s:e].strip()
-        whole = _whole(line)
-        if out and not whole and not out[-1][2]:
-            before = text[lines[i - 1][0] : lines[i - 1][1]].rstrip()
-            word = line.split(None, 1)[0]
-            if len(before) + 1 + len(word) > limit or not line[:1].isascii() and len(before) + 2 > limit:
-                out[-1] = (out[-1][0], e, False)
-                continue
-        out.append((s, e, whole))
+        small = texts[i][0].islower() and not _whole(texts[i]) and texts[i - 1].rstrip(CLOSERS)[-1:] not in ENDS + WIDE_ENDS
+        goes_on = bool(out) and not out[-1][2] and (full[i] or small)
+        bullet = _BULLET.match(texts[i]) is not None
+        # a date or a colon within wrapped text makes neither a list nor a field
+        whole = bullet or _whole(texts[i]) and not goes_on and not (width and full[i + 1])
+        if goes_on and not whole:
+            out[-1] = (out[-1][0], e, False)
+        else:
+            out.append((s, e, whole))
     return out
 
 
+def _no_room(line: str, after: str, limit: int) -> bool:
+    """Whether the next line's first word had no room on this line; in scripts without spaces, its first character.
+
+    A line that is a little wider than the others is full, too."""
+    word = after.split(None, 1)[0]
+    return len(line) + 1 + len(word) > limit or (word[0] >= "\u2e80" and len(line) + 2 > limit)
+
+
 def _whole(line: str) -> bool:
     """Whether a line is a unit by its form: a list line, or a short field line that doesn't end like a sentence."""
     if _LIST.match(line):
         return True
     ended = line.rstrip(CLOSERS)[-1:] in ENDS + WIDE_ENDS
-    return bool(_FIELD.match(line)) and not ended and len(line) <= 80
+    m = None if ended or len(line) > 80 else _FIELD.match(line)
+    return m is not None and len(re.split("[:：]", line, maxsplit=1)[0].split()) <= 3
 
 
 def line_width(text: str) -> int:
-    """The width to which a text is wrapped, 0 if it isn't."""
-    lengths = [len(x.rstrip()) for x in _LINE.split(text)]
-    widest = max(lengths, default=0)
-    return widest if 40 <= widest <= 120 and sum(n > 0.75 * widest for n in lengths) >= 3 else 0
-
+    """The width to which a text is wrapped, 0 if it isn't: the one that explains most of its line breaks.
 
-def candidates(text: str, s: int, e: int):
-    """``(end, next start)`` of all places in a run of text where a sentence may end, but its end."""
+    A break is explained by the widths that hold the line, but not the next line's first word as well.
+    """
+    lines, n, change = [x.strip() for x in _LINE.split(text)], 0, {}
+    for line, after in zip(lines, lines[1:]):
+        if line and after:
+            n += 1
+            if 30 <= len(line) <= 160:
+                change[len(line)] = change.get(len(line), 0) + 1
+                end = len(line) + 1 + len(after.split(None, 1)[0])
+                change[end] = change.get(end, 0) - 1
+    best = width = now = 0
+    for w in sorted(change):
+        now += change[w]
+        if now > best:
+            best, width = now, w
+    return width if best >= 2 and best >= 0.6 * n else 0
+
+
+def has_thai(text: str) -> bool:
+    return not text.isascii() and _THAI_LETTER.search(text) is not None
+
+
+def candidates(text: str, s: int, e: int, thai: bool):
+    """``(mark, end, next start)`` of all places in a run of text where a sentence may end, but its end."""
     seen = []
     for m in _END.finditer(text, s, e):
         seen.append((m.end(), m.start()))
-    if "฀" <= max(text[s:e], default="") and _THAI.search(text, s, e):
+    if thai:
         marks = {x for x, _ in seen}
         seen += [(m.start(), m.start()) for m in _THAI.finditer(text, s, e) if m.start() not in marks]
         seen.sort()
@@ -230,7 +302,7 @@ def surroundings(text: str, s: int, e: int, mark: int, end: int, nxt: int) -> tu
 
 def wide(text: str) -> bool:
     """Whether the writer puts two blanks between sentences."""
-    return len(_TWO.findall(text)) + len(_THAI_TWO.findall(text)) >= 3
+    return "  " in text and len(_TWO.findall(text)) + (len(_THAI_TWO.findall(text)) if has_thai(text) else 0) >= 3
 
 
 def _edge(token: str, last: bool) -> str:
@@ -254,12 +326,12 @@ def paragraph_edges(text: str) -> tuple[list[str], list[str]]:
 
 def reliable(text: str, ends: frozenset = frozenset(), starts: frozenset = frozenset()) -> list[tuple[tuple[int, ...], bool]]:
     """Labelled candidates of a text, from reliable boundaries only. ends, starts: how paragraphs without marks do."""
-    out, parts, two, width = [], blocks(text), wide(text), line_width(text)
+    out, parts, two, width, thai = [], blocks(text), wide(text), line_width(text), has_thai(text)
     for i, (a, b) in enumerate(parts):
         for s, e, whole in runs(text, a, b, width):
             if whole:
                 continue
-            for mark, end, nxt in candidates(text, s, e):
+            for mark, end, nxt in candidates(text, s, e, thai):
                 gap, f = text[end:nxt], surroundings(text, s, e, mark, end, nxt)
                 closed = text[end - 1] in CLOSERS
                 if mark == end and not two:
@@ -290,15 +362,15 @@ def reliable(text: str, ends: frozenset = frozenset(), starts: frozenset = froze
 
 def units(text: str, weights) -> list[tuple[int, int]]:
     """``(start, end)`` of the units of a text, white space left out."""
-    out, two, width = [], wide(text), line_width(text)
+    out, two, width, thai = [], wide(text), line_width(text), has_thai(text)
     for a, b in blocks(text):
         for s, e, whole in runs(text, a, b, width):
             at = s
             if not whole:
-                for mark, end, nxt in candidates(text, s, e):
+                for mark, end, nxt in candidates(text, s, e, thai):
                     gap = text[end:nxt]
                     sure = two and len(gap) > 1 and set(gap) == {" "}
-                    if sure or _score(weights, surroundings(text, s, e, mark, end, nxt)) > 0:
+                    if sure or sum(map(weights.__getitem__, surroundings(text, s, e, mark, end, nxt))) > 0:
                         out.append((at, end))
                         at = nxt
             out.append((at, e))
@@ -313,26 +385,18 @@ def units(text: str, weights) -> list[tuple[int, int]]:
     return trimmed
 
 
-def _score(weights, f: tuple[int, ...]) -> float:
-    known = _SCORES.get(f)
-    if known is None:
-        if len(_SCORES) > 400_000:
-            _SCORES.clear()
-        known = _SCORES[f] = float(weights[list(f)].sum())
-    return known
-
-
-_SCORES: dict[tuple[int, ...], float] = {}
-
-
 def train(docs: DataFrame, text: str = "text", n_docs: int = TRAIN_DOCS, max_chars: int = TRAIN_CHARS):
     """Weights from a bounded sample: up to ``n_docs`` wide-spaced documents and as many of the others, by hash order."""
-    short = docs.select(F.col(text).alias("t")).where(F.char_length("t").between(1, max_chars))
+    total = docs.count()
+    hashed = docs.select(F.col(text).alias("t"), F.xxhash64(text).alias("h")).where(F.char_length("t").between(1, max_chars))
+    # a share of the documents by hash, so that no task sends more than it has to; the few that pass are sorted
+    share = min(1.0, OVERSAMPLE * n_docs / max(total, 1))
+    drawn = hashed.where(F.pmod(F.xxhash64(F.lit(7), "h"), F.lit(1_000_000)) < int(1_000_000 * share))
     twice = F.regexp_count("t", F.lit(f"[{ENDS}]" + r"[\"'”’»›)\]]*  \S|[\x{e00}-\x{e7f}]  \S")) >= 3
+    kinds = drawn.select("t", "h", twice.alias("twice"))
     texts = []
-    for cond in (twice, ~twice):
-        sample = short.where(cond).select("t", F.xxhash64("t").alias("h")).orderBy("h", "t").limit(n_docs)
-        texts += [r.t for r in sample.collect()]
+    for cond in (F.col("twice"), ~F.col("twice")):
+        texts += [r.t for r in kinds.where(cond).orderBy("h", "t").select("t").limit(n_docs).collect()]
     return fit(labelled(texts))
 
 
@@ -355,7 +419,6 @@ def split_units(docs: DataFrame, weights, doc_id: str = "doc_id", text: str = "t
         import numpy as np
         import pyarrow as pa
 
-        _SCORES.clear()
         for batch in batches:
             n, spans = [], []
             for t in batch.column("t").to_pylist():

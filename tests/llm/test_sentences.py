@@ -36,6 +36,9 @@ def test_structure():
     assert cut("Case 12\n\nIt rained. We\nleft early.\r\n\r\n- Names: R. D. Wen\n- Country: jp\n") == [
         "Case 12", "It rained.", "We\nleft early.", "- Names: R. D. Wen", "- Country: jp",
     ]
+    wrapped = "A clerk in Borland wrote on the\nMay book: it was the same person\nwrote: see below, he said, to be\nleft alone for the time. It ended."
+    assert cut(wrapped) == [wrapped[:-10], "It ended."]
+    assert cut("Names: A. Wen\nBirth Date: 1 May\nIt rained.") == ["Names: A. Wen", "Birth Date: 1 May", "It rained."]
     assert cut("他说：“这是同一个人。”后来没有回答。为什么？") == ["他说：“这是同一个人。”", "后来没有回答。", "为什么？"]
     assert cut("担当は「同一人物だ。」と述べた。次へ。") == ["担当は「同一人物だ。」と述べた。", "次へ。"]
     assert cut("यह बंद है। क्या वह आया?") == ["यह बंद है।", "क्या वह आया?"]
