@@ -11,6 +11,7 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,14 +29,22 @@ def builder(app: str = "pairloom", master: str | None = None) -> SparkSession.Bu
     return b.master(master) if master else b
 
 
+@cache
+def _own_root() -> str:
+    root = tempfile.mkdtemp(prefix="pairloom-")
+    atexit.register(shutil.rmtree, root, ignore_errors=True)
+    return root
+
+
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``; where that is unset, as in tests, a temporary folder of our own."""
+    """The shared folder of ``spark.checkpoint.dir``; where that is unset, as in tests, a temporary folder of our own.
+
+    The latter is for one machine only: on a cluster without the setting it is an error.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = tempfile.mkdtemp(prefix="pairloom-")
-        atexit.register(shutil.rmtree, root, ignore_errors=True)
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
+    if not root and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    return (root or _own_root()).rstrip("/")
 
 
 class Scratch:
@@ -77,12 +86,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(df: DataFrame, per_partition_mb: int = 8) -> DataFrame:
-    """Repartitions a frame whose files give fewer tasks than cores, before CPU-heavy Python; otherwise leaves it alone.
+def spread(df: DataFrame) -> DataFrame:
+    """Repartitions a scan whose files give fewer tasks than cores, before CPU-heavy Python; otherwise leaves it alone.
 
-    A scan gets at most one task per row group and few small files are packed into one; the shuffle costs far less than
-    idle cores when every row is then worked on in Python.
+    A scan packs few small files into one task; the shuffle costs far less than idle cores when every row is then worked
+    on in Python. A frame that already shuffles is left to the adaptive planner, as asking for its partitions would run it.
     """
-    spark = df.sparkSession
-    have, cores = df.rdd.getNumPartitions(), spark.sparkContext.defaultParallelism
+    if "Exchange" in df._jdf.queryExecution().executedPlan().toString():  # noqa: SLF001
+        return df
+    have, cores = df.rdd.getNumPartitions(), df.sparkSession.sparkContext.defaultParallelism
     return df if have >= cores else df.repartition(cores * 2)
