@@ -23,6 +23,8 @@ SIMILARITY, RECORD_SIMILARITY = 0.8, 0.6
 EVALUATION, TRAINING = ("val", "test"), "train"
 #: Shingles in this share of all sets or more are ordered by their count; there are at most 1 / share times a set's size.
 COMMON_SHARE = 1 / 5000
+#: Up to so many candidates, 64 bytes each with their keys, are broadcast to pick their classes; more are shuffled.
+FEW_CANDIDATES = 200_000
 
 
 def record_shingles(e: str) -> Column:
@@ -67,7 +69,10 @@ def pair_classes(pairs: DataFrame, splits: DataFrame, scratch: Scratch) -> tuple
     classes = members.groupBy("c1", "c2").agg(
         F.any_value(F.struct("a", "b")).alias("s"), F.bool_or(evals).alias("in_eval"), F.bool_or(~evals).alias("in_train")
     ).select("c1", "c2", "s.a", "s.b", "in_eval", "in_train")
-    return members.select("pair_id", "split", "c1", "c2"), scratch.save(classes, "classes")
+    classes = scratch.save(classes, "classes")
+    slim = scratch.save(members.select("pair_id", "split", "c1", "c2"), "slim")
+    scratch.drop(members)
+    return slim, classes
 
 
 def prefixes(sets: DataFrame, common: DataFrame, t: float) -> DataFrame:
@@ -131,7 +136,12 @@ def cross_split_overlaps(
     near = probe.join(index, "token").where(
         (F.col("t_n") >= F.col("e_n") * t - 1e-9) & (F.col("e_n") >= F.col("t_n") * t - 1e-9) & (most >= need)
     )
-    found = near.select("e_c1", "e_c2", "t_c1", "t_c2").distinct()
+    found = scratch.save(near.select("e_c1", "e_c2", "t_c1", "t_c2").distinct(), "candidates")
+    scratch.drop(firsts)
+    if found.count() <= FEW_CANDIDATES:
+        # only their classes go on, picked without shuffling the others
+        ends = [found.select(F.col(f"{x}_c1").alias("c1"), F.col(f"{x}_c2").alias("c2")) for x in "et"]
+        classes = classes.join(F.broadcast(ends[0].union(ends[1]).distinct()), ["c1", "c2"], "left_semi")
     e = classes.select(F.col("c1").alias("e_c1"), F.col("c2").alias("e_c2"), F.col("a").alias("ea"), F.col("b").alias("eb"))
     c = classes.select(F.col("c1").alias("t_c1"), F.col("c2").alias("t_c2"), F.col("a").alias("ta"), F.col("b").alias("tb"))
     sets = found.join(e, ["e_c1", "e_c2"]).join(c, ["t_c1", "t_c2"])
