@@ -31,13 +31,21 @@ def _best_ratio(left: pd.Series, right: pd.Series) -> pd.Series:
     return pd.Series([best(x, y) for x, y in zip(left, right, strict=True)], dtype="float64")
 
 
+def name_keys(names: Column) -> Column:
+    """The distinct sorted-word keys of an array of names."""
+    return F.array_distinct(F.transform(names, token_key))
+
+
 def name_similarity(left: Column, right: Column) -> Column:
-    """Best ratio between two arrays of names, compared as sorted words; 0 if either is empty.
+    """Best ratio between two arrays of names, compared as sorted words; 0 if either is empty."""
+    return key_similarity(name_keys(left), name_keys(right))
+
+
+def key_similarity(l: Column, r: Column) -> Column:
+    """The same from two arrays of keys; better given as columns, as they are used several times.
 
     Equal keys are settled in the JVM; only the other pairs go to Python, as arrays, so nothing is shuffled.
     """
-    keys = lambda c: F.array_distinct(F.transform(c, token_key))
-    l, r = keys(left), keys(right)
     easy = F.arrays_overlap(l, r) | (F.size(l) == 0) | (F.size(r) == 0)
     hard = lambda c: F.when(~easy, c)
     return F.when(F.arrays_overlap(l, r), 1.0).otherwise(F.coalesce(_best_ratio(hard(l), hard(r)), F.lit(0.0)))

@@ -47,26 +47,25 @@ def merge_partials(parts: DataFrame, *by: str) -> DataFrame:
 def threshold_counts(df: DataFrame, score: str, truth: str, thresholds: list[float], *by: str) -> DataFrame:
     """Counts and metrics for each threshold; a score at the threshold is positive.
 
-    Each row is put below the last threshold it reaches in one aggregation; the few sums are then accumulated from the
-    highest threshold down, so rows aren't multiplied by the thresholds.
+    Each row is put at the last threshold it reaches in one aggregation; the few sums, one per threshold, are then added
+    up for each threshold, so rows aren't multiplied by the thresholds and are scored once.
     """
-    from pyspark.sql import Window as W
-
     ts = sorted(thresholds)
-    level = F.size(F.filter(F.array(*[F.lit(float(t)) for t in ts]), lambda t: F.coalesce(F.col(score) >= t, F.lit(False))))
+    reached = lambda s: F.size(F.filter(F.array(*[F.lit(float(t)) for t in ts]), lambda t: F.coalesce(s >= t, F.lit(False))))
+    # the score is bound to a variable, or the planner would put its expression into the filter and work it out each time
+    level = F.element_at(F.transform(F.array(score), reached), 1)
     pos = F.coalesce(F.col(truth) == "positive", F.lit(False))
     per = df.groupBy(*by, level.alias("level")).agg(F.count_if(pos).alias("p"), F.count_if(~pos).alias("n"))
-    grid = per.select(*by).distinct().withColumn("t", F.explode(F.array(*[F.struct(F.lit(i + 1).alias("level"), F.lit(float(t)).alias("threshold")) for i, t in enumerate(ts)])))
-    grid = grid.select(*by, "t.level", "t.threshold")
-    rows = per.select(*by, "level", F.lit(None).cast("double").alias("threshold"), "p", "n").unionByName(grid.select(*by, "level", "threshold", F.lit(0).cast("long").alias("p"), F.lit(0).cast("long").alias("n")))
-    w = W.partitionBy(*by).orderBy(F.desc("level")).rangeBetween(W.unboundedPreceding, 0)
-    everything = W.partitionBy(*by)
-    counted = rows.withColumns({
-        "true_positive": F.sum("p").over(w), "false_positive": F.sum("n").over(w),
-        "all_p": F.sum("p").over(everything), "all_n": F.sum("n").over(everything),
-    }).where("threshold is not null")
-    counted = counted.withColumns({"false_negative": F.col("all_p") - F.col("true_positive"), "true_negative": F.col("all_n") - F.col("false_positive")})
-    return metrics(counted.select(*by, "threshold", *COUNTS))
+    levels = per.groupBy(*by).agg(F.collect_list(F.struct("level", "p", "n")).alias("ls"))
+    grid = F.array(*[F.struct(F.lit(i + 1).alias("i"), F.lit(float(t)).alias("threshold")) for i, t in enumerate(ts)])
+    at = levels.select(*by, "ls", F.explode(grid).alias("t"))
+
+    def total(name: str, reached: bool):
+        rows = F.filter("ls", lambda x: (x["level"] >= F.col("t.i")) == F.lit(reached))
+        return F.aggregate(rows, F.lit(0).cast("long"), lambda acc, x: acc + x[name])
+
+    cells = [("p", True), ("n", True), ("p", False), ("n", False)]
+    return metrics(at.select(*by, "t.threshold", *[total(*c).alias(n) for n, c in zip(COUNTS, cells, strict=True)]))
 
 
 def best_threshold(swept: DataFrame, *by: str) -> DataFrame:
