@@ -92,6 +92,7 @@ def _edit(a: str, b: str) -> bool:
 
 
 _SHORT = {frozenset((phonetic(k), phonetic(s))) for k, v in SHORT_NAMES.items() for s in v.split()}
+_LONG_OF = {s: sorted(k for k in map(phonetic, SHORT_NAMES) if frozenset((k, s)) in _SHORT) for v in SHORT_NAMES.values() for s in phonetic(v).split()}
 
 
 @lru_cache(maxsize=500_000)
@@ -240,7 +241,7 @@ def token_index(names: DataFrame, scratch: Scratch) -> DataFrame:
     """``token``, ``weight``, ``keys``: each token's frequency as its neighbours count, and the tokens it meets others at.
 
     Neighbours share a form with at most one letter deleted and are an edit apart. A token passes on to those that are
-    more frequent, so that two tokens that are an edit apart always share a key.
+    more frequent, so that two tokens that are an edit apart always share a key. A short name meets its long ones, too.
     """
     counted = names.select(F.explode(F.split("name", " ")).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
     counted = scratch.save(counted, "tokens")
@@ -264,9 +265,11 @@ def token_index(names: DataFrame, scratch: Scratch) -> DataFrame:
     meet = f.join(other, "form").where("token <> near and (m > n or (m = n and near < token))")
     meet = meet.where(close(F.col("token"), F.col("near"))).select("token", "near", "m").distinct()
     near = meet.groupBy("token").agg(F.max("m").alias("m"), F.collect_list("near").alias("near"))
+    none = F.array().cast("array<string>")
+    long_of = F.create_map(*[x for s, ks in _LONG_OF.items() for x in (F.lit(s), F.array(*map(F.lit, ks)))])
     index = counted.join(near, "token", "left").select(
         "token", F.greatest("n", F.coalesce("m", F.lit(0))).alias("weight"),
-        F.concat(F.array("token"), F.coalesce("near", F.array().cast("array<string>"))).alias("keys"),
+        F.array_distinct(F.concat(F.array("token"), F.coalesce("near", none), F.coalesce(F.try_element_at(long_of, "token"), none))).alias("keys"),
     )
     index = scratch.save(index, "index")
     scratch.drop(f)
@@ -280,14 +283,16 @@ def matching_names(names: DataFrame, scratch: Scratch) -> DataFrame:
     known = tokens.join(index, "token").groupBy("person", "name").agg(
         F.collect_list(F.struct("weight", "token", "keys")).alias("ts")
     )
-    able = lambda t: F.length(t["token"]) >= 3
+    able = lambda t: F.exists(t["keys"], lambda k: F.length(k) >= 3)
     rarest = F.array_min(F.transform(F.filter("ts", able), lambda t: t["weight"]))
     anchors = known.withColumn("rarest", rarest).where("rarest is not null").select(
         "person", "name",
         F.explode(F.filter("ts", lambda t: able(t) & (t["weight"] <= F.col("rarest") * ANCHOR_SPAN))).alias("t"), "ts",
     )
     initials = F.array_distinct(
-        F.transform(F.filter("ts", lambda o: o["token"] != F.col("t.token")), lambda o: F.substring(o["token"], 1, 1))
+        F.flatten(
+            F.transform(F.filter("ts", lambda o: o["token"] != F.col("t.token")), lambda o: F.transform(o["keys"], lambda k: F.substring(k, 1, 1)))
+        )
     )
     initials = F.when(F.size(initials) > 0, initials).otherwise(F.array(F.lit("")))
     keys = anchors.select("person", "name", F.col("t.keys").alias("ks"), F.explode(initials).alias("i"))

@@ -50,3 +50,16 @@ def test_records(spark):
     # the initials of f may mean someone of 1964 or of 1971
     assert got == [("a", "b"), ("a", "d"), ("a", "e"), ("b", "d"), ("c", "e"), ("d", "e"), ("g", "h")]
     assert same_names(named_records(df.limit(0)), birth_dates(df.limit(0))).count() == 0
+
+
+def named(spark, names):
+    """Records of persons with the ids given, without birth dates."""
+    return pairs(spark, [(ent(i, n), None, None) for i, n in names.items()])
+
+
+def test_short_names_meet_their_long_form(spark):
+    two = [("Robert", "Bob"), ("Wilhelmina", "Mina"), ("Elizabeth", "Beth"), ("Ivan", "Vanya"), ("William", "Bill"), ("Mohammed", "Mo")]
+    names = {f"{i}{side}": f"{n} Hartm{'aeiouy'[i] * 3}nn" for i, two_of in enumerate(two) for side, n in zip("ab", two_of, strict=True)}
+    df = named(spark, names | {"7a": "Mohammed Li", "7b": "Mo Li", "8a": "Bob Li"})
+    want = [(f"{i}a", f"{i}b") for i in (*range(len(two)), 7)]
+    assert sorted(map(tuple, same_names(named_records(df), birth_dates(df)).collect())) == want
