@@ -1,7 +1,7 @@
 """Queries p2: address records that denote the same building, however written.
 
 Each address is expanded into all plausible normalised forms of street name, street kind, house number, town and
-postcode. Each form gives hashes of component combinations, also with one letter of the street or the town left out;
+postcode. Each form gives hashes of component combinations, also with one letter of the street and the town left out;
 forms that share a hash meet in an equi-join, and those whose house numbers, street kinds, towns or postcodes conflict
 are rejected. A town that a form lacks is taken from the postcode, as the corpus writes it most often. The unit in the
 building plays no part. Distinct forms are joined, not records; ids come back at the end.
@@ -140,12 +140,12 @@ def _readings(words: list[str], i: int, w: str):
 
 
 def form_keys(street: str, house: str, town: str, code: str) -> list[str]:
-    """The component combinations by which forms meet; a letter may be missing in one of street and town."""
-    keys = set()
-    for place in ([f"t{town}"] if town else []) + ([f"p{code}"] if code else []):
-        keys |= {f"s|{v}|{house}|{place}" for v in deletions(street)}
+    """The component combinations by which forms meet; a letter may be missing in street and town, or in either."""
+    keys, streets = set(), deletions(street)
+    if code:
+        keys |= {f"p|{v}|{house}|{code}" for v in streets}
     if town:
-        keys |= {f"t|{street}|{house}|{v}" for v in deletions(town)}
+        keys |= {f"t|{v}|{house}|{w}" for w in deletions(town) for v in streets}
     if not town and not code:
         keys.add(f"n|{street}|{house}")
     return sorted(keys)
@@ -217,7 +217,6 @@ def same_building(values: DataFrame) -> DataFrame:
     same = c.where(
         (a("house") == b("house")) & (a("kind") == b("kind")) & close(a("street"), b("street"))
         & ((a("town") == "") | (b("town") == "") | close(a("town"), b("town")))
-        & ((a("street") == b("street")) | (a("town") == b("town")) | F.arrays_overlap(a("codes"), b("codes")))
     ).select("a1", "a2", "b1", "b2")
     own = distinct.select(F.col("f1").alias("a1"), F.col("f2").alias("a2"), F.col("f1").alias("b1"), F.col("f2").alias("b2"))
     links = same.unionByName(own)

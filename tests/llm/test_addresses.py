@@ -48,3 +48,8 @@ def test_pairs_table(spark):
     df = pairs(spark, rows).withColumn("town", F.lit(1)).withColumn("address", F.lit(1))
     assert sorted(map(tuple, same_building(address_values(df)).collect())) == [("a", "b"), ("a", "e")]
     assert same_building(address_values(df.limit(0))).count() == 0
+
+
+def test_errors_in_street_and_town(spark):
+    df = values(spark, ["51 Barsson Street, Krapaholm, 568281", "51 Barson Street, Krapaaholm", "51 Barnsen Street, Krapaaholm"])
+    assert list(map(tuple, same_building(df).collect())) == [("r00", "r01")]
