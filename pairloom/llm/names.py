@@ -350,8 +350,8 @@ def same_names(values: DataFrame, dates: DataFrame) -> DataFrame:
     # a name of initials stands for one person where all who may be meant were born in one year, as far as is known
     partial = links.where(F.col("person") & (F.col("strength") == 1) & (wholes("a") < wholes("b")))
     years = partial.join(dated("b"), ["person", "b"]).groupBy("person", "a").agg(F.count_distinct("year").alias("n_years"))
-    clear = years.where("n_years <= 1").select("person", "a")
-    weak = partial.join(clear, ["person", "a"], "left_semi")
+    unclear = years.where("n_years > 1").select("person", "a")
+    weak = partial.join(unclear, ["person", "a"], "left_anti")
     weak = weak.unionByName(weak.select("person", F.col("b").alias("a"), F.col("a").alias("b"), "strength"))
     undated = links.where("strength = 2").unionByName(weak)
     undated = undated.join(side("a").where("d_a is null"), ["person", "a"]).join(side("b"), ["person", "b"])

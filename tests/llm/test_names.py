@@ -63,3 +63,8 @@ def test_short_names_meet_their_long_form(spark):
     df = named(spark, names | {"7a": "Mohammed Li", "7b": "Mo Li", "8a": "Bob Li"})
     want = [(f"{i}a", f"{i}b") for i in (*range(len(two)), 7)]
     assert sorted(map(tuple, same_names(named_records(df), birth_dates(df)).collect())) == want
+
+
+def test_initials_without_any_known_date(spark):
+    df = named(spark, {"a": "E. Hesnoneira", "b": "Erosh Hesnoneira"})
+    assert list(map(tuple, same_names(named_records(df), birth_dates(df)).collect())) == [("a", "b")]
