@@ -2,8 +2,9 @@
 
 Names become sets of tokens in Latin letters, without titles and legal forms. A symmetric-delete index over the distinct
 tokens finds those a small edit apart; each token passes on to its more frequent neighbours, so writings of one token meet
-at the one that most people use. Names meet in an equi-join on an anchor token, one that is rare even as its neighbours
-count, together with the initial of another token. Candidates are verified by an optimal assignment of their tokens, that
+at the one that most people use. Names meet in an equi-join on any token, however frequent, together with a second part:
+the beginning of another token or an initial for persons, another token or the initials of all others for organisations.
+Candidates are verified by an optimal assignment of their tokens, that
 permits edits, short names, initials and abbreviations. Distinct names are joined, not records; a match of names links
 records unless their birth dates differ, and where a name is only initials or a part, only if the dates agree.
 """
@@ -25,8 +26,6 @@ from pairloom.session import Scratch, spread, table
 PERSON, ORGANISATION = ["Person"], ["Company", "Organization", "LegalEntity"]
 #: Tokens of this length or more may differ by an edit.
 LEAST_EDITED = 4
-#: A token is an anchor of its name up to so many times the frequency of the name's rarest one.
-ANCHOR_SPAN = 8
 
 # Titles, legal forms, words without weight, and short names that don't start like the long one.
 TITLES = set("mr mrs ms miss mx dr prof professor sir dame lord lady sr sra srta mme mlle herr frau don dona jr hon rev".split())
@@ -238,7 +237,7 @@ def keyed(values: DataFrame) -> DataFrame:
 
 
 def token_index(names: DataFrame, scratch: Scratch) -> DataFrame:
-    """``token``, ``weight``, ``keys``: each token's frequency as its neighbours count, and the tokens it meets others at.
+    """``token``, ``keys``: the tokens that each token meets others at, itself among them.
 
     Neighbours share a form with at most one letter deleted and are an edit apart. A token passes on to those that are
     more frequent, so that two tokens that are an edit apart always share a key. A short name meets its long ones, too.
@@ -259,16 +258,16 @@ def token_index(names: DataFrame, scratch: Scratch) -> DataFrame:
             cols = list(zip(*rows, strict=True)) if rows else [[], [], []]
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.int64())], names=["form", "token", "n"])
 
-    long = spread(counted.where(F.length("token") >= LEAST_EDITED))
+    long = spread(counted.where(F.length("token") >= LEAST_EDITED - 1))
     f = scratch.save(long.mapInArrow(forms, "form long, token string, n long"), "forms")
     other = f.select("form", F.col("token").alias("near"), F.col("n").alias("m"))
     meet = f.join(other, "form").where("token <> near and (m > n or (m = n and near < token))")
-    meet = meet.where(close(F.col("token"), F.col("near"))).select("token", "near", "m").distinct()
-    near = meet.groupBy("token").agg(F.max("m").alias("m"), F.collect_list("near").alias("near"))
+    meet = meet.where((F.greatest(F.length("token"), F.length("near")) >= LEAST_EDITED) & close(F.col("token"), F.col("near"))).select("token", "near").distinct()
+    near = meet.groupBy("token").agg(F.collect_list("near").alias("near"))
     none = F.array().cast("array<string>")
     long_of = F.create_map(*[x for s, ks in _LONG_OF.items() for x in (F.lit(s), F.array(*map(F.lit, ks)))])
     index = counted.join(near, "token", "left").select(
-        "token", F.greatest("n", F.coalesce("m", F.lit(0))).alias("weight"),
+        "token",
         F.array_distinct(F.concat(F.array("token"), F.coalesce("near", none), F.coalesce(F.try_element_at(long_of, "token"), none))).alias("keys"),
     )
     index = scratch.save(index, "index")
@@ -281,26 +280,33 @@ def matching_names(names: DataFrame, scratch: Scratch) -> DataFrame:
     index = token_index(names, scratch)
     tokens = names.select("person", "name", F.explode(F.split("name", " ")).alias("token"))
     known = tokens.join(index, "token").groupBy("person", "name").agg(
-        F.collect_list(F.struct("weight", "token", "keys")).alias("ts")
+        F.collect_list(F.struct("token", "keys")).alias("ts")
     )
     able = lambda t: F.exists(t["keys"], lambda k: F.length(k) >= 3)
-    rarest = F.array_min(F.transform(F.filter("ts", able), lambda t: t["weight"]))
-    anchors = known.withColumn("rarest", rarest).where("rarest is not null").select(
-        "person", "name",
-        F.explode(F.filter("ts", lambda t: able(t) & (t["weight"] <= F.col("rarest") * ANCHOR_SPAN))).alias("t"), "ts",
+    each = known.select("person", "name", "ts", F.posexplode("ts").alias("at", "t")).where(able(F.col("t")))
+    each = each.withColumn("others", F.filter("ts", lambda o, i: i != F.col("at"))).where(F.size("others") > 0)
+    part = lambda side, kind, c: F.struct(F.lit(side).alias("side"), F.concat(F.lit(kind), c).alias("second"))
+    first = lambda o: F.substring(o["token"], 1, 1)
+    others, theirs = F.col("others"), F.flatten(F.transform("others", lambda o: o["keys"]))
+    initials = F.array_sort(F.transform(others, first))
+    without = lambda j: F.array_join(F.filter(initials, lambda _, i: i != j), "")
+    # side 0 meets side 0, and 1 meets 2: initials meet tokens, and all but one of the others meet all of them
+    person = F.concat(
+        F.transform(theirs, lambda k: part(0, "p", F.substring(k, 1, 3))), F.transform(others, lambda o: part(2, "i", first(o))),
+        F.transform(F.filter(others, lambda o: F.length(o["token"]) == 1), lambda o: part(1, "i", o["token"])),
     )
-    initials = F.array_distinct(
-        F.flatten(
-            F.transform(F.filter("ts", lambda o: o["token"] != F.col("t.token")), lambda o: F.transform(o["keys"], lambda k: F.substring(k, 1, 1)))
-        )
-    )
-    initials = F.when(F.size(initials) > 0, initials).otherwise(F.array(F.lit("")))
-    keys = anchors.select("person", "name", F.col("t.keys").alias("ks"), F.explode(initials).alias("i"))
-    keys = keys.select("person", "name", "i", F.explode("ks").alias("k"))
-    keys = scratch.save(keys.select("person", "name", F.xxhash64("person", "k", "i").alias("key")).distinct(), "keys")
-    left = keys.select("key", "person", F.col("name").alias("a"))
-    right = keys.select("key", F.col("person").alias("p2"), F.col("name").alias("b"))
-    met = left.join(right, "key").where("a < b and person = p2").select("person", "a", "b")
+    company = F.concat(
+        F.transform(theirs, lambda k: part(0, "k", k)), F.array(part(0, "s", F.array_join(initials, "")), part(2, "d", F.array_join(initials, ""))),
+        F.transform(F.sequence(F.lit(0), F.size(others) - 1), lambda j: part(1, "d", without(j))),
+    )
+    seconds = F.array_distinct(F.when(F.col("person"), person).otherwise(company))
+    keys = each.select("person", "name", F.col("t.keys").alias("ks"), F.explode(seconds).alias("x"))
+    keys = keys.select("person", "name", "x.side", "x.second", F.explode("ks").alias("k"))
+    keys = scratch.save(keys.select("person", "name", "side", F.xxhash64("person", "k", "second").alias("key")).distinct(), "keys")
+    left = keys.where("side < 2").select("key", "person", F.col("side").alias("s1"), F.col("name").alias("a"))
+    right = keys.where("side <> 1").select("key", F.col("person").alias("p2"), F.col("side").alias("s2"), F.col("name").alias("b"))
+    met = left.join(right, "key").where("person = p2 and (s1 = 0 and s2 = 0 and a < b or s1 = 1 and s2 = 2 and a <> b)")
+    met = met.select("person", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
     def verify(batches):
         import pyarrow as pa

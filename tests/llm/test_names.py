@@ -68,3 +68,10 @@ def test_short_names_meet_their_long_form(spark):
 def test_initials_without_any_known_date(spark):
     df = named(spark, {"a": "E. Hesnoneira", "b": "Erosh Hesnoneira"})
     assert list(map(tuple, same_names(named_records(df), birth_dates(df)).collect())) == [("a", "b")]
+
+
+def test_frequent_tokens_stay_keys(spark):
+    crowd = {f"x{i:02d}": f"{g} Kareta Rosfagume" for i, g in enumerate("Bod Dulm Fenk Gant Hask Jolt Lund Murb Nast Pilk Rund Sovt".split())}
+    names = {"a": "Ile Kareta Rosfagume", "b": "Ilenne Kareta Rosfagume", "c": "Vorl Rosfagume", "d": "V. Rosfagume", "e": "Jon Rosfagume", "f": "John Rosfagume"}
+    got = set(map(tuple, same_names(named_records(named(spark, crowd | names)), birth_dates(named(spark, crowd | names))).collect()))
+    assert {("a", "b"), ("c", "d"), ("e", "f")} <= got
