@@ -13,16 +13,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairloom.llm.textforms import folded
-from pairloom.operators.skew import sketch_candidates
+from pairloom.llm.textforms import loose
 from pairloom.session import Scratch, table
 
 WORDS = 5
 #: Jaccard similarity of the pairs' shingles, and least similarity of the records that face each other.
 SIMILARITY, RECORD_SIMILARITY = 0.8, 0.6
 EVALUATION, TRAINING = ("val", "test"), "train"
-#: Shingles in this share of all sets or more are ordered by their count; there are at most 1 / share times a set's size.
-COMMON_SHARE = 1 / 5000
+#: Shingles are ordered by the count of their bucket, of which there are 2 to this power; ties by hash.
+ORDER_BITS = 18
 #: Up to so many candidates, 64 bytes each with their keys, are broadcast to pick their classes; more are shuffled.
 FEW_CANDIDATES = 200_000
 
@@ -38,70 +37,75 @@ def record_shingles(e: str) -> Column:
     fixed = [one(c, F.col(f"{e}.{c}")) for c in ("caption", "schema", "first_seen")]
     fields = F.concat(F.array(*fixed, datasets), props)
 
-    def of_value(k: Column, v: Column) -> Column:
-        words = F.split(v, " ")
-        starts = F.sequence(F.lit(1), F.greatest(F.size(words) - (WORDS - 1), F.lit(1)))
-        return F.transform(starts, lambda i: F.xxhash64(k, F.array_join(F.slice(words, i, F.lit(WORDS)), " ")))
+    # a lambda's argument is evaluated once, an expression at each use: values are cut into words in a lambda's argument
+    def runs(k: Column, words: Column) -> Column:
+        of = lambda i: F.xxhash64(k, F.slice(words, i, F.lit(WORDS)))
+        starts = F.sequence(F.lit(1), F.size(words) - (WORDS - 1))
+        return F.when(F.size(words) <= WORDS, F.array(F.xxhash64(k, words))).otherwise(F.transform(starts, of))
 
     def of_field(f: Column) -> Column:
-        values = F.coalesce(f["v"], F.array().cast("array<string>"))
-        clean = F.filter(F.transform(values, folded), lambda v: F.coalesce(v != "", F.lit(False)))
-        return F.flatten(F.transform(clean, lambda v: of_value(f["k"], v)))
+        values = F.array_compact(F.coalesce(f["v"], F.array().cast("array<string>")))
+        words = F.transform(values, lambda v: F.filter(F.split(loose(v), " "), lambda w: w != ""))
+        return F.flatten(F.transform(F.filter(words, lambda w: F.size(w) > 0), lambda w: runs(f["k"], w)))
 
     return F.array_sort(F.array_distinct(F.flatten(F.transform(fields, of_field))))
 
 
+def known_splits(splits: DataFrame) -> DataFrame:
+    """``pair_id``, ``split``, distinct: the splits that take part, without case and surrounding blanks."""
+    s = splits.select("pair_id", F.lower(F.trim("split")).alias("split"))
+    return s.where(F.col("split").isin(TRAINING, *EVALUATION)).distinct()
+
+
 def pair_classes(pairs: DataFrame, splits: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     """Members ``(pair_id, split, c1, c2)`` and classes ``(c1, c2, a, b, in_eval, in_train)`` of pairs of equal content.
 
-    Classes are named by 128 bits of hash over both records' shingles, whichever side they stand on.
+    Classes are named by 128 bits of hash over both records' shingles, whichever side they stand on. The shingles of all
+    pairs are written where they are made; only those of one pair of each class travel.
     """
-    known = splits.select("pair_id", F.lower(F.trim("split")).alias("split")).where(
-        F.col("split").isin(TRAINING, *EVALUATION)
-    ).distinct()
     sets = pairs.select("pair_id", record_shingles("left").alias("a"), record_shingles("right").alias("b"))
     sets = sets.where((F.size("a") > 0) | (F.size("b") > 0))
     h = lambda seed, c: F.xxhash64(F.lit(seed), c)
     names = [(F.least(h(s, "a"), h(s, "b")), F.greatest(h(s, "a"), h(s, "b"))) for s in (1, 2)]
-    sets = sets.select("pair_id", "a", "b", *[F.xxhash64(lo, hi).alias(f"c{i}") for i, (lo, hi) in enumerate(names, 1)])
-    members = scratch.save(sets.join(known, "pair_id"), "members")
+    sets = scratch.save(sets.select("pair_id", "a", "b", *[F.xxhash64(lo, hi).alias(f"c{i}") for i, (lo, hi) in enumerate(names, 1)]), "sets")
+    members = scratch.save(sets.select("pair_id", "c1", "c2").join(known_splits(splits), "pair_id"), "members")
     evals = F.col("split").isin(*EVALUATION)
-    classes = members.groupBy("c1", "c2").agg(
-        F.any_value(F.struct("a", "b")).alias("s"), F.bool_or(evals).alias("in_eval"), F.bool_or(~evals).alias("in_train")
-    ).select("c1", "c2", "s.a", "s.b", "in_eval", "in_train")
-    classes = scratch.save(classes, "classes")
-    slim = scratch.save(members.select("pair_id", "split", "c1", "c2"), "slim")
-    scratch.drop(members)
-    return slim, classes
+    firsts = members.groupBy("c1", "c2").agg(
+        F.min("pair_id").alias("pair_id"), F.bool_or(evals).alias("in_eval"), F.bool_or(~evals).alias("in_train")
+    )
+    # a pair_id may stand in several rows, of equal or other content
+    classes = sets.join(firsts, ["pair_id", "c1", "c2"]).dropDuplicates(["pair_id", "c1", "c2"])
+    classes = scratch.save(classes.select("c1", "c2", "a", "b", "in_eval", "in_train"), "classes")
+    scratch.drop(sets)
+    return members, classes
 
 
-def prefixes(sets: DataFrame, common: DataFrame, t: float) -> DataFrame:
-    """The first shingles of each set: ``token, pos, n`` and the set's other columns. Numpy over Arrow batches.
+def prefixes(sets: DataFrame, t: float) -> DataFrame:
+    """The first shingles of each set, rare ones first: ``token, pos, n`` and the set's other columns. Numpy over Arrow.
 
-    ``common`` is the bounded table of frequent shingles ``(token, n_rows)``; all others come first, in hash order.
+    How often shingles occur is counted over all sets in ``2 ** ORDER_BITS`` buckets of their hash, a table of that size
+    whatever the data's. Any order keeps the join exact, as long as it is the same for all sets.
     """
-    rows = common.toPandas()
-    tokens, counts = rows["token"].to_numpy("int64"), rows["n_rows"].to_numpy("int64")
-    order = tokens.argsort()
-    known = sets.sparkSession.sparkContext.broadcast((tokens[order], counts[order]))
+    import numpy as np
+
+    bucket = F.col("token").bitwiseAND(F.lit((1 << ORDER_BITS) - 1)).cast("int").alias("bucket")
+    rows = sets.select(F.explode("set").alias("token")).groupBy(bucket).agg(F.count(F.lit(1)).alias("n_rows")).toArrow()
+    counts = np.zeros(1 << ORDER_BITS, np.int64)
+    counts[rows["bucket"].to_numpy()] = rows["n_rows"].to_numpy()
+    known = sets.sparkSession.sparkContext.broadcast(counts)
     rest = [c for c in sets.columns if c != "set"]
 
     def run(batches):
-        import numpy as np
         import pyarrow as pa
 
-        tok, cnt = known.value
+        n_of, mask = known.value, (1 << ORDER_BITS) - 1
         for batch in batches:
             col = batch.column("set")
             offsets = col.offsets.to_numpy()
             flat = col.values.to_numpy()[offsets[0] : offsets[-1]]
             lengths = np.diff(offsets)
             row = np.repeat(np.arange(len(lengths)), lengths)
-            freq = np.zeros(len(flat), np.int64)
-            if len(tok):
-                at = np.minimum(np.searchsorted(tok, flat), len(tok) - 1)
-                freq = np.where(tok[at] == flat, cnt[at], 0)
-            ranked = np.lexsort((flat, freq, row))
+            ranked = np.lexsort((flat, n_of[flat & mask], row))
             pos = np.arange(len(flat)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
             keep = pos < (lengths - np.ceil(lengths * t - 1e-9) + 1).astype(np.int64)[row]
             picked = pa.array(row[ranked][keep])
@@ -124,11 +128,7 @@ def cross_split_overlaps(
     scratch = Scratch(pairs.sparkSession, "overlaps")
     members, classes = pair_classes(pairs, splits, scratch)
     both = classes.withColumn("set", F.array_sort(F.array_union("a", "b")))
-    n_sets = classes.count()
-    stream = both.select(F.explode("set").alias("token"))
-    candidates = F.broadcast(sketch_candidates(stream, ["token"], max(20.0, n_sets * COMMON_SHARE)))
-    common = stream.join(candidates, "token", "left_semi").groupBy("token").agg(F.count(F.lit(1)).alias("n_rows"))
-    firsts = scratch.save(prefixes(both.select("set", "c1", "c2", "in_eval", "in_train"), common, t), "prefixes")
+    firsts = scratch.save(prefixes(both.select("set", "c1", "c2", "in_eval", "in_train"), t), "prefixes")
     index = firsts.where("in_eval").select("token", *[F.col(c).alias(f"e_{c}") for c in ("pos", "n", "c1", "c2")])
     probe = firsts.where("in_train").select("token", *[F.col(c).alias(f"t_{c}") for c in ("pos", "n", "c1", "c2")])
     most = F.least(F.col("e_n") - F.col("e_pos"), F.col("t_n") - F.col("t_pos"))
@@ -182,7 +182,7 @@ def p5_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = F.array_union(
         F.coalesce("left.datasets", F.array().cast("array<string>")), F.coalesce("right.datasets", F.array().cast("array<string>"))
     )
-    evals = splits.where(F.col("split").isin(*EVALUATION)).select("pair_id", "split").distinct()
+    evals = known_splits(splits).where(F.col("split") != TRAINING)
     rows = pairs.select("pair_id", F.explode(names).alias("dataset")).join(evals, "pair_id")
     marked = rows.join(hit.withColumn("hit", F.lit(1)), ["pair_id", "split"], "left")
     return marked.groupBy("split", "dataset").agg(F.count("*").alias("n_pairs"), F.count("hit").alias("n_overlapping"))

@@ -104,9 +104,10 @@ def fold_forms() -> tuple[str, str]:
     return "".join(keep) + "".join(gone), "".join(table[a] for a in keep)
 
 
-def folded(c: Column) -> Column:
-    """A loose form inside whole-stage code: look-alikes, accents, case and runs of spaces don't matter."""
-    return F.trim(F.regexp_replace(F.translate(c, *fold_forms()), " +", " "))
+def loose(c: Column) -> Column:
+    """A loose form, but for runs of spaces: look-alikes, accents and case don't matter. ASCII needs no long table."""
+    ascii_form = F.translate(F.lower(c), "\t\n\x0b\x0c\r", "     ")
+    return F.when(F.octet_length(c) == F.char_length(c), ascii_form).otherwise(F.translate(c, *fold_forms()))
 
 
 @lru_cache
