@@ -15,7 +15,7 @@ import re
 from functools import lru_cache
 from itertools import permutations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pairloom.llm.addresses import close
@@ -26,6 +26,8 @@ from pairloom.session import Scratch, spread, table
 PERSON, ORGANISATION = ["Person"], ["Company", "Organization", "LegalEntity"]
 #: Tokens of this length or more may differ by an edit.
 LEAST_EDITED = 4
+#: Tokens of this length or more are no abbreviations or short names.
+LONG = 6
 
 # Titles, legal forms, words without weight, and short names that don't start like the long one.
 TITLES = set("mr mrs ms miss mx dr prof professor sir dame lord lady sr sra srta mme mlle herr frau don dona jr hon rev".split())
@@ -165,7 +167,6 @@ def best_assignment(value: list[list[float]]) -> list[int]:
     return out
 
 
-@lru_cache(maxsize=200_000)
 def match_strength(one: str, other: str, person: bool) -> int:
     """2: the names match in full; 1: as far as initials or a missing part go; 0: they don't. Empty names never match."""
     a, b = one.split(), other.split()
@@ -181,10 +182,14 @@ def match_strength(one: str, other: str, person: bool) -> int:
             scores.append(3)
         else:
             rest_a.append(t)
+    scored = [[token_score(t, u, person) for u in rest_b] for t in rest_a]
+    for t, row in zip(rest_a, scored, strict=True):
+        if not any(row) and (len(t) > 1 or not person):
+            return 0
     # a match counts before its quality, and that before taking a whole token rather than an initial
-    value = [[100 * (x > 0) + 10 * x + (len(u) > 1) for u in rest_b for x in [token_score(t, u, person)]] for t in rest_a]
+    value = [[100 * (x > 0) + 10 * x + (len(u) > 1) for x, u in zip(row, rest_b, strict=True)] for row in scored]
     chosen = best_assignment(value)
-    s = [token_score(t, rest_b[j], person) for t, j in zip(rest_a, chosen, strict=True)]
+    s = [row[j] for row, j in zip(scored, chosen, strict=True)]
     left = [t for j, t in enumerate(rest_b) if j not in chosen]
     if person:
         # initials that conflict are middle initials, which writers leave out or mistake
@@ -267,7 +272,7 @@ def token_index(names: DataFrame, scratch: Scratch) -> DataFrame:
     none = F.array().cast("array<string>")
     long_of = F.create_map(*[x for s, ks in _LONG_OF.items() for x in (F.lit(s), F.array(*map(F.lit, ks)))])
     index = counted.join(near, "token", "left").select(
-        "token",
+        "token", "n",
         F.array_distinct(F.concat(F.array("token"), F.coalesce("near", none), F.coalesce(F.try_element_at(long_of, "token"), none))).alias("keys"),
     )
     index = scratch.save(index, "index")
@@ -275,48 +280,79 @@ def token_index(names: DataFrame, scratch: Scratch) -> DataFrame:
     return index
 
 
-def matching_names(names: DataFrame, scratch: Scratch) -> DataFrame:
-    """``person``, ``a``, ``b``, ``strength``: pairs of distinct names (``person``, ``name``) that match, ``a < b``."""
+def second_parts(side: str) -> Column:
+    """What a token adds to another token's key, so that only names meet that may match in both.
+
+    Long tokens meet by their beginnings; a short one (of persons an initial, of organisations what may be an
+    abbreviation) and another meet by their initials. ``side`` is ``one`` or ``any``: one name's parts are joined to any
+    part of the other.
+    """
+    starts = lambda n, mark: F.transform("keys", lambda k: F.concat(F.lit(mark), F.substring(k, 1, n)))
+    marked = lambda marks: F.concat(*[starts(3 if m == "p" else 1, m) for m in marks])
+    # p two long tokens, w a short one that meets a long one, i a long one that meets a short one, s two short ones
+    short, long = ("ws", "pi") if side == "one" else ("is", "pw")
+    is_short = F.length("token") < F.when(F.col("person"), 2).otherwise(LONG)
+    return F.array_distinct(F.transform(F.when(is_short, marked(short)).otherwise(marked(long)), lambda x: F.hash(x)))
+
+
+def candidate_names(names: DataFrame, scratch: Scratch) -> DataFrame:
+    """``a``, ``b``, ``a < b``: the numbers of names (``nid``, ``person``, ``name``) that may match.
+
+    If names match, all whole tokens of the one with fewer tokens do. So one name gives the key of its rarest token
+    together with a part of the next rare one, the other those of all its tokens: how many names a frequent word is in
+    doesn't matter, only in how many it is the rarest. A short token may be an abbreviation, which has no key in common
+    with the whole: it passes the part of the rarest on to the next. Only where all other tokens are initials is each of
+    them a second part.
+    """
     index = token_index(names, scratch)
-    tokens = names.select("person", "name", F.explode(F.split("name", " ")).alias("token"))
-    known = tokens.join(index, "token").groupBy("person", "name").agg(
-        F.collect_list(F.struct("token", "keys")).alias("ts")
+    tokens = names.select("nid", "person", F.explode(F.split("name", " ")).alias("token")).join(index, "token")
+    traits = [F.exists("keys", lambda k: F.length(k) >= 3).alias("able"), (F.length("token") >= LONG).alias("long"), (F.length("token") > 1).alias("whole")]
+    hashed = F.transform("keys", lambda k: F.xxhash64(k)).alias("keys")
+    tokens = tokens.select(
+        "nid", "person", F.struct("n", F.xxhash64("token").alias("h"), hashed, *traits, second_parts("one").alias("one"), second_parts("any").alias("any")).alias("t")
     )
-    able = lambda t: F.exists(t["keys"], lambda k: F.length(k) >= 3)
-    each = known.select("person", "name", "ts", F.posexplode("ts").alias("at", "t")).where(able(F.col("t")))
-    each = each.withColumn("others", F.filter("ts", lambda o, i: i != F.col("at"))).where(F.size("others") > 0)
-    part = lambda side, kind, c: F.struct(F.lit(side).alias("side"), F.concat(F.lit(kind), c).alias("second"))
-    first = lambda o: F.substring(o["token"], 1, 1)
-    others, theirs = F.col("others"), F.flatten(F.transform("others", lambda o: o["keys"]))
-    initials = F.array_sort(F.transform(others, first))
-    without = lambda j: F.array_join(F.filter(initials, lambda _, i: i != j), "")
-    # side 0 meets side 0, and 1 meets 2: initials meet tokens, and all but one of the others meet all of them
-    person = F.concat(
-        F.transform(theirs, lambda k: part(0, "p", F.substring(k, 1, 3))), F.transform(others, lambda o: part(2, "i", first(o))),
-        F.transform(F.filter(others, lambda o: F.length(o["token"]) == 1), lambda o: part(1, "i", o["token"])),
-    )
-    company = F.concat(
-        F.transform(theirs, lambda k: part(0, "k", k)), F.array(part(0, "s", F.array_join(initials, "")), part(2, "d", F.array_join(initials, ""))),
-        F.transform(F.sequence(F.lit(0), F.size(others) - 1), lambda j: part(1, "d", without(j))),
+    known = tokens.groupBy("nid", "person").agg(F.array_sort(F.collect_list("t")).alias("ts")).where(F.size("ts") > 1)
+    each = known.select("nid", "person", "ts", F.posexplode("ts").alias("at", "t")).where("t.able")
+    others = F.filter("ts", lambda o, i: i != F.col("at"))
+    parts = lambda c, o: F.array_distinct(F.flatten(F.transform(o, lambda x: x[c])))
+    first = ~F.exists(F.slice("ts", F.lit(1), F.col("at")), lambda x: x["able"] & x["long"])
+    whole = F.filter("others", lambda x: x["whole"])
+    each = each.withColumn("others", others)
+    each = each.select(
+        "nid", "person", "t.keys", parts("any", F.col("others")).alias("any"),
+        F.when(first & (F.size(whole) > 0), F.get(whole, F.lit(0))["one"]).when(first, parts("one", F.col("others"))).alias("one"),
     )
-    seconds = F.array_distinct(F.when(F.col("person"), person).otherwise(company))
-    keys = each.select("person", "name", F.col("t.keys").alias("ks"), F.explode(seconds).alias("x"))
-    keys = keys.select("person", "name", "x.side", "x.second", F.explode("ks").alias("k"))
-    keys = scratch.save(keys.select("person", "name", "side", F.xxhash64("person", "k", "second").alias("key")).distinct(), "keys")
-    left = keys.where("side < 2").select("key", "person", F.col("side").alias("s1"), F.col("name").alias("a"))
-    right = keys.where("side <> 1").select("key", F.col("person").alias("p2"), F.col("side").alias("s2"), F.col("name").alias("b"))
-    met = left.join(right, "key").where("person = p2 and (s1 = 0 and s2 = 0 and a < b or s1 = 1 and s2 = 2 and a <> b)")
-    met = met.select("person", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+    def keys(side: str) -> DataFrame:
+        k = each.select("nid", "person", F.explode("keys").alias("k"), side)
+        k = k.select("nid", "person", "k", F.explode(side).alias("second"))
+        return k.select("nid", F.xxhash64("person", "k", "second").alias("key"))
+
+    each = scratch.save(each, "each")
+    met = keys("one").withColumnRenamed("nid", "a").join(keys("any").withColumnRenamed("nid", "b"), "key").where("a <> b")
+    # made distinct where the join with the names wants them
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).repartition("a").distinct()
+
+
+def matching_names(names: DataFrame, scratch: Scratch) -> DataFrame:
+    """``a``, ``b``, ``person``, ``strength``, ``wa``, ``wb``: pairs of distinct names that match, ``a < b``.
+
+    ``names`` has ``nid``, ``person``, ``name``, ``wholes``; ``wa`` and ``wb`` are how many tokens of each are no initials.
+    """
+    met = candidate_names(names, scratch)
+    side = lambda x: names.select(F.col("nid").alias(x), F.col("person").alias(f"p_{x}"), F.col("name").alias(f"n_{x}"), F.col("wholes").alias(f"w{x}"))
+    both = met.join(side("a"), "a").join(side("b"), "b").where("p_a = p_b")
 
     def verify(batches):
         import pyarrow as pa
 
         for batch in batches:
-            s = [match_strength(a, b, p) for p, a, b in zip(*[batch.column(c).to_pylist() for c in ("person", "a", "b")], strict=True)]
-            out = pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("person", "a", "b")], pa.array(s, pa.int32())], names=["person", "a", "b", "strength"])
+            s = [match_strength(a, b, p) for p, a, b in zip(*[batch.column(c).to_pylist() for c in ("p_a", "n_a", "n_b")], strict=True)]
+            kept = [batch.column(c) for c in ("a", "b", "p_a", "wa", "wb")]
+            out = pa.RecordBatch.from_arrays([*kept, pa.array(s, pa.int32())], names=["a", "b", "person", "wa", "wb", "strength"])
             yield out.filter(pa.array([x > 0 for x in s], pa.bool_()))
 
-    return met.mapInArrow(verify, "person boolean, a string, b string, strength int").distinct()
+    return both.mapInArrow(verify, "a long, b long, person boolean, wa int, wb int, strength int")
 
 
 def agree(a, b):
@@ -337,30 +373,32 @@ def same_names(values: DataFrame, dates: DataFrame) -> DataFrame:
     known birth years of those it may stand for are one.
     """
     scratch = Scratch(values.sparkSession, "names")
-    records = scratch.save(keyed(values), "records")
-    names = scratch.save(records.select("person", "name").distinct(), "names")
+    records, salt = scratch.save(keyed(values), "records"), 0
+    wholes = F.size(F.filter(F.split("name", " "), lambda t: F.length(t) > 1)).alias("wholes")
+    distinct = scratch.save(records.select("person", "name", wholes).distinct(), "distinct")
+    number = lambda: F.xxhash64(F.lit(salt), "person", "name").alias("nid")
+    # names are numbered by hash; for n names n^2 / 2^65 clashes are expected, and another hash is taken where there is one
+    while not distinct.groupBy(number()).count().where("count > 1").isEmpty():
+        salt += 1
+    names, records = distinct.select(number(), "*"), records.select("id", number())
     matched = matching_names(names, scratch)
-    wholes = lambda c: F.size(F.filter(F.split(c, " "), lambda t: F.length(t) > 1))
-    full = wholes("name")
-    own = names.select("person", F.col("name").alias("a"), F.col("name").alias("b"), F.when(F.when(F.col("person"), full >= 2).otherwise(full >= 1), 2).otherwise(1).alias("strength"))
-    links = matched.unionByName(own)
-    both_ways = links.unionByName(matched.select("person", F.col("b").alias("a"), F.col("a").alias("b"), "strength"))
-    links = scratch.save(both_ways, "links")
+    full = F.col("wholes") >= F.when(F.col("person"), 2).otherwise(1)
+    own = names.select(F.col("nid").alias("a"), F.col("nid").alias("b"), "person", F.col("wholes").alias("wa"), F.col("wholes").alias("wb"), F.when(full, 2).otherwise(1).alias("strength"))
+    matched = scratch.save(matched.unionByName(own), "matched")
+    links = matched.unionByName(matched.where("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b"), "person", F.col("wb").alias("wa"), F.col("wa").alias("wb"), "strength"))
     held = scratch.save(records.join(dates, "id", "left"), "held")
-    scratch.drop(records)
     year = F.explode_outer(F.array_distinct(F.transform("dates", lambda d: F.substring(d, 1, 4))))
-    side = lambda x: held.select("person", F.col("name").alias(x), F.col("id").alias(f"id_{x}"), F.col("dates").alias(f"d_{x}"))
-    dated = lambda x: held.where("dates is not null").select("person", F.col("name").alias(x), F.col("id").alias(f"id_{x}"), F.col("dates").alias(f"d_{x}"), year.alias("year"))
-    same_year = links.join(dated("a"), ["person", "a"]).join(dated("b"), ["person", "b", "year"])
+    side = lambda x: held.select(F.col("nid").alias(x), F.col("id").alias(f"id_{x}"), F.col("dates").alias(f"d_{x}"))
+    dated = lambda x: held.where("dates is not null").select(F.col("nid").alias(x), F.col("id").alias(f"id_{x}"), F.col("dates").alias(f"d_{x}"), year.alias("year"))
+    same_year = links.select("a", "b").join(dated("a"), "a").join(dated("b"), ["b", "year"])
     same_year = same_year.where((F.col("id_a") < F.col("id_b")) & agree(F.col("d_a"), F.col("d_b"))).select("id_a", "id_b")
     # a name of initials stands for one person where all who may be meant were born in one year, as far as is known
-    partial = links.where(F.col("person") & (F.col("strength") == 1) & (wholes("a") < wholes("b")))
-    years = partial.join(dated("b"), ["person", "b"]).groupBy("person", "a").agg(F.count_distinct("year").alias("n_years"))
-    unclear = years.where("n_years > 1").select("person", "a")
-    weak = partial.join(unclear, ["person", "a"], "left_anti")
-    weak = weak.unionByName(weak.select("person", F.col("b").alias("a"), F.col("a").alias("b"), "strength"))
-    undated = links.where("strength = 2").unionByName(weak)
-    undated = undated.join(side("a").where("d_a is null"), ["person", "a"]).join(side("b"), ["person", "b"])
+    partial = links.where("person and strength = 1 and wa < wb").select("a", "b")
+    years = partial.join(dated("b"), "b").groupBy("a").agg(F.count_distinct("year").alias("n_years"))
+    weak = partial.join(years.where("n_years > 1").select("a"), "a", "left_anti")
+    weak = weak.unionByName(weak.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    undated = links.where("strength = 2").select("a", "b").unionByName(weak)
+    undated = undated.join(side("a").where("d_a is null"), "a").join(side("b"), "b")
     undated = undated.where("id_a <> id_b").select(F.least("id_a", "id_b").alias("id_a"), F.greatest("id_a", "id_b").alias("id_b"))
     return same_year.unionByName(undated).distinct()
 
