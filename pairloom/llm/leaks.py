@@ -4,11 +4,13 @@ Texts become tokens that don't depend on case, punctuation, spacing or look-alik
 characters in scripts without spaces. Every window of half a passage's size gets a 64-bit SimHash, in the items as in the
 documents; a passage with an odd changed word still has a window without it. The items' fingerprints are cut into
 ``RADIUS + 1`` blocks, so two fingerprints within the radius agree on one block: looking up all blocks of a document's
-window finds every item window within the radius. Candidates are verified exactly: the passage around them is aligned
-token by token, its matching weight counted, and its similarity with each token weighted by its rarity among the items.
+window finds every item window within the radius. Candidates are verified exactly: the item's shingles of two tokens are
+looked up in the document's text around the window, and some passage of the item must be covered by them, as to its
+words or letters and as to the weight of its shingles. A shingle weighs more the fewer documents have it, counted over all
+documents while they are read, which tells a copied passage from the stock phrases that texts of a kind share.
 
 The items are the query set. They are broadcast in blocks of bounded size, each against all documents; a document is
-read once per block and never leaves its task.
+read once per block and never leaves its task. What comes back are counts of the items' shingles and the few candidates.
 """
 
 from __future__ import annotations
@@ -19,16 +21,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pairloom.llm.textforms import python_forms
-from pairloom.session import spread, table
+from pairloom.session import Scratch, spread, table
 
 #: Tokens of a window, in spaced text and where half of the tokens or more are single characters.
 WINDOW, CHAR_WINDOW = 8, 10
 RADIUS = 3
 #: A passage weighs 1 if it has sixteen words, or forty letters and digits in scripts without spaces.
 WORDS, LETTERS = 16, 40
-#: Least matching weight of a passage, least after the weight of what differs within it is taken off, and least share of
-#: the passage's rarity, which tells a copied passage from one that shares its stock phrases.
-MATCHED, NET, RARE = 0.85, 0.7, 0.86
+#: Least weight of what a passage's shingles cover, least after the weight of what they don't cover is taken off, and the
+#: least share of its shingles' rarity.
+MATCHED, NET, SIMILAR = 0.85, 0.7, 0.75
+#: A text counts letters where this share of its tokens or more are characters of scripts without spaces.
+UNSPACED_SHARE = 0.3
 #: Characters of items that one broadcast index may hold.
 BLOCK_CHARS = 20_000_000
 #: Tokens whose windows are hashed at once.
@@ -142,9 +146,8 @@ def token_weights(text: str, toks: list[str], one):
     """The weight of each token of an item: letters count where its script has no spaces, words elsewhere."""
     import numpy as np
 
-    letters = np.array([len(t) for t in toks], float)
-    if len(toks) and letters[one].sum() >= 0.3 * letters.sum():
-        return letters / LETTERS
+    if len(toks) and one.mean() >= UNSPACED_SHARE:
+        return np.array([len(t) for t in toks], float) / LETTERS
     weights, at = np.zeros(len(toks)), 0
     for chunk in text.split():
         n = len(tokens(chunk))
@@ -156,7 +159,7 @@ def token_weights(text: str, toks: list[str], one):
 
 
 def build_index(items: list[tuple[int, str]]) -> dict:
-    """Tokens, weights and fingerprints of the items, and for each block of bits the windows that have each value."""
+    """Shingles, weights and fingerprints of the items, and for each block of bits the windows that have each value."""
     import numpy as np
 
     kept, owner_of, pos_of, prints = [], [], [], []
@@ -168,14 +171,9 @@ def build_index(items: list[tuple[int, str]]) -> dict:
             owner_of.append(np.full(len(at), len(kept)))
             pos_of.append(at)
             prints.append(fp)
-            kept.append((item_id, h, token_weights(text, toks, one)))
+            kept.append((item_id, shingles(h), token_weights(text, toks, one)))
     if not kept:
-        return {"items": []}
-    n_with: dict[int, int] = {}
-    for _, h, _ in kept:
-        for t in set(h.tolist()):
-            n_with[t] = n_with.get(t, 0) + 1
-    kept = [(i, h, w, np.array([np.log((len(kept) + 1) / n_with[t]) ** 2 for t in h.tolist()])) for i, h, w in kept]
+        return {"items": [], "known": np.empty(0, np.uint64)}
     fp = np.concatenate(prints)
     width = 64 // (RADIUS + 1)
     blocks = []
@@ -184,7 +182,8 @@ def build_index(items: list[tuple[int, str]]) -> dict:
         order = np.argsort(value, kind="stable")
         first = np.searchsorted(value[order], np.arange((1 << width) + 1, dtype=np.uint64))
         blocks.append((order, first))
-    return {"items": kept, "owner": np.concatenate(owner_of), "pos": np.concatenate(pos_of), "fp": fp, "blocks": blocks, "width": width}
+    known = np.unique(np.concatenate([k[1] for k in kept]))
+    return {"items": kept, "known": known, "owner": np.concatenate(owner_of), "pos": np.concatenate(pos_of), "fp": fp, "blocks": blocks, "width": width}
 
 
 def lookup(index: dict, fp):
@@ -209,75 +208,57 @@ def lookup(index: dict, fp):
     return np.concatenate(a_all), np.concatenate(b_all)
 
 
-def shares_passage(doc, item, weights, rarity, starts) -> bool:
-    """Whether the document's tokens hold a passage of the item that weighs enough; starts: where windows met, ``(i, j)``."""
+def shingles(h):
+    """Hashes of each two neighbouring tokens."""
     import numpy as np
 
-    m, words = len(item), item.tolist()
-    mean = float(weights.mean())
-    seen = []
+    return (h[:-1] * np.uint64(0x9E3779B97F4A7C15)) ^ (h[1:] + np.uint64(0x7F4A7C15)) if len(h) > 1 else h[:0]
+
+
+def meetings(doc, item, weights, starts):
+    """Which of the item's shingles the document has, for each region where windows met and enough is covered.
+
+    starts: where windows met, ``(i, j)``; a region reaches from there over the whole item and a quarter more.
+    """
+    import numpy as np
+
+    m, seen = len(weights), []
     for i, j in starts:
-        lo, hi = max(0, i - j - m // 4 - 4), min(len(doc), i + (m - j) + m // 4 + 4)
-        if any(a <= lo and hi <= b for a, b in seen):
-            continue
-        seen.append((lo, hi))
-        part = doc[lo:hi].tolist()
-        there = set(part)
-        have = np.fromiter((t in there for t in words), bool, m)
-        if not _possible(have, weights, rarity, mean):
-            continue
-        if _aligned(part, words, weights.tolist(), rarity.tolist(), mean):
-            return True
-    return False
+        lo, hi = max(0, i - j - m // 4 - 4), i + (m - j) + m // 4 + 4
+        if not any(a <= lo and hi <= b for a, b in seen):
+            seen.append((lo, hi))
+            met = np.isin(item, doc[lo : hi - 1])
+            if passage(met, weights, np.zeros(len(met))):
+                yield met
 
 
-def _possible(have, weights, rarity, mean: float) -> bool:
-    """Whether some run of the item's tokens can reach the limits if all that the document has of them match in order."""
+def passage(met, weights, rarity) -> bool:
+    """Whether some run of the item's tokens is like the document's: what its shingles cover weighs ``MATCHED`` or more,
+    ``NET`` less what they don't cover, and they have ``SIMILAR`` of the run's rarity or more."""
     import numpy as np
 
+    have = np.zeros(len(weights), bool)
+    have[:-1] |= met
+    have[1:] |= met
     if weights[have].sum() < MATCHED:
         return False
-    run = lambda x: (c := np.concatenate([[0.0], np.cumsum(x)]))[None, :] - c[:, None]
-    mass, net = run(np.where(have, weights, 0.0)), run(np.where(have, weights, -mean))
-    spare = run(np.where(have, (1 - RARE) * rarity, -RARE * rarity))
-    return bool(((mass >= MATCHED - 1e-9) & (net >= NET - 1e-9) & (spare >= -1e-9)).any())
-
-
-def _aligned(part: list[int], item: list[int], weights: list[float], rarity: list[float], mean: float) -> bool:
-    """Local alignment, one row per token of the document. A cell holds its net weight, its matching weight, the rarity
-    that matched and the rarity of what the item has in between."""
-    m, none = len(item), (0.0, 0.0, 0.0, 0.0)
-    row = [none] * (m + 1)
-    where: dict[int, list[int]] = {}
-    for j, t in enumerate(item):
-        where.setdefault(t, []).append(j)
-    for t in part:
-        new = [none] * (m + 1)
-        hits = where.get(t, ())
-        for j in range(1, m + 1):
-            diagonal, above, before = row[j - 1], row[j], new[j - 1]
-            if (j - 1) in hits:
-                w, r = weights[j - 1], rarity[j - 1]
-                cell = (diagonal[0] + w, diagonal[1] + w, diagonal[2] + r, diagonal[3] + r)
-                if cell[1] >= MATCHED and cell[0] >= NET and cell[2] >= RARE * cell[3]:
-                    return True
-            elif diagonal[0] >= above[0] and diagonal[0] >= before[0]:
-                cell = (diagonal[0] - mean, diagonal[1], diagonal[2], diagonal[3] + rarity[j - 1])
-            elif above[0] >= before[0]:
-                cell = (above[0] - mean, *above[1:])
-            else:
-                cell = (before[0] - mean, before[1], before[2], before[3] + rarity[j - 1])
-            if cell[0] > 0:
-                new[j] = cell
-        row = new
-    return False
-
-
-def leaked(index: dict, ids: list, texts: list[str | None]):
-    """``(id, item_id)`` of all documents of a batch that hold a passage of an item."""
+    total = lambda x: np.concatenate([[0.0], np.cumsum(x)])
+    run = lambda c, d: d[None, :] - c[:, None]
+    mass, net = total(np.where(have, weights, 0.0)), total(np.where(have, weights, -weights.mean()))
+    # from token a to token b; the shingles of such a run are one fewer
+    spare = total(np.where(met, (1 - SIMILAR) * rarity, -SIMILAR * rarity))
+    enough = (run(mass, mass) >= MATCHED - 1e-9) & (run(net, net) >= NET - 1e-9)
+    return bool((enough[:-1, 1:] & (run(spare, spare) >= -1e-9)).any())
+
+
+def candidates(index: dict, ids: list, texts: list[str | None], counts):
+    """``(id, item, met)`` of documents of a batch with the places of the items they may leak and the shingles they share.
+
+    ``counts`` is raised by one for each known shingle that a text (of a very long one, a chunk) has.
+    """
     import numpy as np
 
-    docs = []
+    docs, known = [], index["known"]
 
     def flush():
         if not docs:
@@ -286,6 +267,11 @@ def leaked(index: dict, ids: list, texts: list[str | None]):
         one = np.concatenate([d[2] for d in docs])
         sizes = [len(d[1]) for d in docs]
         owner = np.repeat(np.arange(len(docs)), sizes)
+        own = shingles(h)
+        place = np.minimum(np.searchsorted(known, own), len(known) - 1)
+        hit = (known[place] == own) & (owner[:-1] == owner[1:]) if len(own) else np.zeros(0, bool)
+        each = np.unique(owner[:-1][hit] * len(known) + place[hit])
+        counts[:] += np.bincount(each % len(known), minlength=len(known))
         at, fp = fingerprints(h, one, owner)
         a, w = lookup(index, fp)
         base = np.cumsum([0, *sizes])
@@ -295,18 +281,19 @@ def leaked(index: dict, ids: list, texts: list[str | None]):
             i, j = x - int(base[k]) + docs[k][3], int(index["pos"][y])
             pairs.setdefault((k, int(index["owner"][y])), set()).add((i, j))
         for (k, o), starts in pairs.items():
-            item_id, item, weights, rarity = index["items"][o]
-            if shares_passage(docs[k][4], item, weights, rarity, sorted(starts)):
-                yield docs[k][0], item_id
+            _, item, weights = index["items"][o]
+            for met in meetings(docs[k][4], item, weights, sorted(starts)):
+                yield docs[k][0], o, np.packbits(met).tobytes()
         docs.clear()
 
     n = 0
     for doc_id, text in zip(ids, texts, strict=True):
         toks = tokens(text) if text else []
         h, one = hashes(toks), single(toks, text or "")
-        for lo in range(0, max(len(h) - WINDOW + 1, 0), CHUNK):
+        whole = shingles(h)
+        for lo in range(0, max(len(h) - WINDOW + 1, min(len(h), 1)), CHUNK):
             hi = lo + CHUNK + CHAR_WINDOW
-            docs.append((doc_id, h[lo:hi], one[lo:hi], lo, h))
+            docs.append((doc_id, h[lo:hi], one[lo:hi], lo, whole))
             n += len(h[lo:hi])
             if n >= CHUNK:
                 yield from flush()
@@ -314,39 +301,87 @@ def leaked(index: dict, ids: list, texts: list[str | None]):
     yield from flush()
 
 
-def leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text") -> DataFrame:
+def leaks(
+    docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text", block_chars: int = BLOCK_CHARS
+) -> DataFrame:
     """``doc_id``, ``item_id``: documents with a passage of an item of about sixteen words or forty letters, or more.
 
     Null and empty texts hold nothing, nor do items too short for a window. Several equal rows give one. Very long texts
-    are read whole, in overlapping chunks.
+    are read whole, in overlapping chunks. The number of blocks that the items are cut into doesn't change the result.
     """
-    spark = docs.sparkSession
+    spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "leaks")
     kinds = dict(docs.select(doc_id).dtypes)[doc_id], dict(items.select(item_id).dtypes)[item_id]
-    chars = items.agg(F.sum(F.char_length(text))).first()[0] or 0
-    n_blocks = 1 + chars // BLOCK_CHARS
+    own = items.select(F.col(item_id).alias("item_id"), F.col(text).alias("text")).where("text is not null")
+    n_blocks = 1 + (own.agg(F.sum(F.char_length("text"))).first()[0] or 0) // block_chars
     source = spread(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).where("text is not null and text <> ''"))
     out = None
     for b in range(n_blocks):
-        mine = items.where(F.pmod(F.xxhash64(item_id), F.lit(n_blocks)) == b)
-        rows = mine.select(item_id, text).where(F.col(text).isNotNull()).collect()
-        index = spark.sparkContext.broadcast(build_index([tuple(r) for r in rows]))
-
-        def run(batches, index=index):
-            import pyarrow as pa
-
-            for batch in batches:
-                if index.value["items"]:
-                    got = list(leaked(index.value, batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()))
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([g[0] for g in got], batch.schema.field("doc_id").type), pa.array([g[1] for g in got])],
-                        names=["doc_id", "item_id"],
-                    ) if got else pa.RecordBatch.from_pylist([], pa.schema([("doc_id", batch.schema.field("doc_id").type), ("item_id", pa.int64())]))
-
-        part = source.mapInArrow(run, f"doc_id {kinds[0]}, item_id {kinds[1]}")
+        rows = own.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks)) == b).collect()
+        part = _leaks_of(source, kinds, build_index([tuple(r) for r in rows]), scratch)
         out = part if out is None else out.unionByName(part)
     return out.distinct()
 
 
+def _leaks_of(source: DataFrame, kinds: tuple[str, str], index: dict, scratch: Scratch) -> DataFrame:
+    """The leaks of one block of items. Documents are read once, for the candidates and for the counts of shingles."""
+    import numpy as np
+
+    spark = source.sparkSession
+    known = spark.sparkContext.broadcast(index)
+
+    def read(batches):
+        import pyarrow as pa
+
+        idx, n_texts = known.value, 0
+        counts = np.zeros(len(idx["known"]), np.int64)
+        doc_type = None
+        for batch in batches:
+            doc_type = batch.schema.field("doc_id").type
+            n_texts += batch.num_rows
+            if idx["items"]:
+                got = list(candidates(idx, batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), counts))
+                if got:
+                    d, o, met = zip(*got, strict=True)
+                    none = pa.nulls(len(got), pa.int64())
+                    yield pa.RecordBatch.from_arrays([pa.array(d, doc_type), pa.array(o, pa.int32()), pa.array(met, pa.binary()), none, none], names=names)
+        if doc_type is not None:
+            place = np.append(np.nonzero(counts)[0], -1)
+            n, none = np.append(counts[counts > 0], n_texts), len(place)
+            yield pa.RecordBatch.from_arrays(
+                [pa.nulls(none, doc_type), pa.nulls(none, pa.int32()), pa.nulls(none, pa.binary()), pa.array(place.astype(np.int64)), pa.array(n.astype(np.int64))], names=names
+            )
+
+    names = ["doc_id", "item", "met", "place", "n"]
+    hits = scratch.save(source.mapInArrow(read, f"doc_id {kinds[0]}, item int, met binary, place long, n long"), "hits")
+    counts = np.ones(len(index["known"]), np.int64)
+    n_texts = 0
+    # one count for each shingle of the block's items, so bounded as they are
+    for r in hits.where("place is not null").groupBy("place").agg(F.sum("n").alias("n")).collect():
+        if r.place < 0:
+            n_texts = r.n
+        else:
+            counts[r.place] = r.n
+    rarity = spark.sparkContext.broadcast(np.log((n_texts + 1) / counts) ** 2)
+
+    def verify(batches):
+        import pyarrow as pa
+
+        idx = known.value
+        for batch in batches:
+            keep, found = [], []
+            for o, met in zip(batch.column("item").to_pylist(), batch.column("met").to_pylist(), strict=True):
+                item_id, item, weights = idx["items"][o]
+                bits = np.unpackbits(np.frombuffer(met, np.uint8), count=len(item)).astype(bool)
+                keep.append(passage(bits, weights, rarity.value[np.searchsorted(idx["known"], item)]))
+                found.append(item_id)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found, id_type)], names=["doc_id", "item_id"]).filter(pa.array(keep, pa.bool_()))
+
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    id_type = to_arrow_type(spark.createDataFrame([], f"x {kinds[1]}").schema[0].dataType)
+    return hits.where("met is not null").select("doc_id", "item", "met").mapInArrow(verify, f"doc_id {kinds[0]}, item_id {kinds[1]}")
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
 

@@ -3,7 +3,7 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
-from pairloom.llm.leaks import RADIUS, build_index, leaked, leaks, lookup
+from pairloom.llm.leaks import RADIUS, build_index, candidates, leaks, lookup
 
 RNG = random.Random(7)
 WORDS = ["".join(RNG.choice("abcdefghijklmnoprstuv") for _ in range(RNG.randrange(2, 9))) for _ in range(3000)]
@@ -53,5 +53,22 @@ def test_planted_passages(spark):
     assert leaks(d.limit(0), i).count() == 0 and leaks(d, i.limit(0)).count() == 0
 
 
+def test_blocks_of_items_change_nothing(spark):
+    stock = " ".join(words(9))
+    items = [(i, f"{' '.join(words(8))} {stock} {' '.join(words(4))} {stock} {' '.join(words(5))}") for i in range(24)]
+    docs = [(d, f"{' '.join(words(20))} {stock} {' '.join(words(4))} {stock}") for d in range(60)]
+    docs += [(100 + i, f"{' '.join(words(30))} {t[3:]}") for i, t in items[::3]]
+    d, i = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = [{(r.doc_id, r.item_id) for r in leaks(d, i, block_chars=n).collect()} for n in (20_000_000, sum(len(t) for _, t in items) // 7)]
+    assert got[0] == got[1] == {(100 + k, k) for k in range(0, 24, 3)}
+
+
+def test_text_of_a_script_without_spaces_amid_latin_names(spark):
+    zh = "记录ZH-718150显示出生地为Raspahofen，而jp_tax_notices写的是Kasraminster。Jovosh N. Larfamych曾在Lerbosund担任Mondomalis Logistics Inc.的负责人；此后无记录。"
+    d = spark.createDataFrame([(1, "前言。" + zh[4:90]), (2, zh[60:75])], "doc_id long, text string")
+    assert [tuple(r) for r in leaks(d, spark.createDataFrame([("a", zh)], "item_id string, text string")).collect()] == [(1, "a")]
+
+
 def test_nothing_in_nothing():
-    assert list(leaked(build_index([(1, "a b c d e f g h i j k l m n o p q")]), [1], [None])) == []
+    index = build_index([(1, "a b c d e f g h i j k l m n o p q")])
+    assert list(candidates(index, [1], [None], np.zeros(len(index["known"]), np.int64))) == []
