@@ -22,8 +22,6 @@ SIMILARITY, RECORD_SIMILARITY = 0.8, 0.6
 EVALUATION, TRAINING = ("val", "test"), "train"
 #: Shingles are ordered by the count of their bucket, of which there are 2 to this power; ties by hash.
 ORDER_BITS = 18
-#: Up to so many candidates, 64 bytes each with their keys, are broadcast to pick their classes; more are shuffled.
-FEW_CANDIDATES = 200_000
 
 
 def record_shingles(e: str) -> Column:
@@ -138,10 +136,6 @@ def cross_split_overlaps(
     )
     found = scratch.save(near.select("e_c1", "e_c2", "t_c1", "t_c2").distinct(), "candidates")
     scratch.drop(firsts)
-    if found.count() <= FEW_CANDIDATES:
-        # only their classes go on, picked without shuffling the others
-        ends = [found.select(F.col(f"{x}_c1").alias("c1"), F.col(f"{x}_c2").alias("c2")) for x in "et"]
-        classes = classes.join(F.broadcast(ends[0].union(ends[1]).distinct()), ["c1", "c2"], "left_semi")
     e = classes.select(F.col("c1").alias("e_c1"), F.col("c2").alias("e_c2"), F.col("a").alias("ea"), F.col("b").alias("eb"))
     c = classes.select(F.col("c1").alias("t_c1"), F.col("c2").alias("t_c2"), F.col("a").alias("ta"), F.col("b").alias("tb"))
     sets = found.join(e, ["e_c1", "e_c2"]).join(c, ["t_c1", "t_c2"])
