@@ -25,8 +25,9 @@ from pairloom.session import Scratch, table
 LABELS = ["positive", "negative", "other"]
 #: A component with this share of all pairs or more is a class of its own, so there are at most a thousand of them.
 SINGLE_SHARE = 0.001
-#: Most classes that may reach the driver; label counts are rounded to fewer bits until the classes are no more.
-MAX_CLASSES = 100_000
+#: Most classes that may reach the driver. Label counts are rounded to fewer bits until the classes are no more; at the
+#: last step only powers of two are left, 41 values a label for counts below 2^40, so three labels stay below the bound.
+MAX_CLASSES, BITS = 100_000, (8, 5, 3, 1, 0)
 #: Ranks within a class are counted over buckets of about this many components.
 BUCKET_ROWS = 200_000
 #: Ids in this share of the pairs are joined apart.
@@ -48,7 +49,8 @@ def pair_groups(pairs: DataFrame) -> DataFrame:
         F.coalesce(F.nullif("left.id", F.lit("")), F.nullif("right.id", F.lit(""))).alias("id"),
     )
     total = pairs.count()
-    heavy = heavy_hitters(ids, ["id"], max(1.0, total * HOT_SHARE))
+    scratch = Scratch(pairs.sparkSession, "groups")
+    heavy = scratch.save(heavy_hitters(ids, ["id"], max(1.0, total * HOT_SHARE)), "heavy")
     with_group = skew_join(ids, comps, "id", heavy)
     return with_group.select("pair_id", "label", F.coalesce("group_id", "id").alias("group_id"))
 
@@ -151,8 +153,11 @@ def _pour(n: int, weight: float, need: list[float], room: list[float], size: flo
     return got
 
 
-def assign_splits(groups: DataFrame, plan: DataFrame, scratch: Scratch) -> DataFrame:
-    """``group_key``, ``split`` for ``groups`` of ``group_key`` and the counts named in ``LABELS``."""
+def assign_splits(groups: DataFrame, plan: DataFrame, scratch: Scratch, max_classes: int = MAX_CLASSES) -> DataFrame:
+    """``group_key``, ``split`` for ``groups`` of ``group_key`` and the counts named in ``LABELS``.
+
+    Every group gets a split; where classes would be too many even when rounded, it is an error.
+    """
     ratios = {r.split: float(r.ratio) for r in plan.where("split is not null and ratio > 0").select("split", "ratio").collect()}
     if not ratios:
         raise ValueError("the split plan names no split with a positive ratio")
@@ -165,7 +170,7 @@ def assign_splits(groups: DataFrame, plan: DataFrame, scratch: Scratch) -> DataF
         unit = F.pow(F.lit(2.0), F.greatest(F.lit(0), F.floor(F.log2(F.greatest(x, F.lit(1)).cast("double"))) - bits))
         return (F.floor(x / unit) * unit).cast("long")
 
-    for bits in (8, 5, 3, 1):
+    for bits in BITS:
         keyed = groups.withColumn(
             "cls",
             F.when(single, F.concat(F.lit("="), "group_key")).otherwise(
@@ -173,9 +178,11 @@ def assign_splits(groups: DataFrame, plan: DataFrame, scratch: Scratch) -> DataF
             ),
         )
         per_class = keyed.groupBy("cls").agg(F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(c) for c in LABELS])
-        rows = per_class.limit(MAX_CLASSES + 1).collect()
-        if len(rows) <= MAX_CLASSES:
+        rows = per_class.limit(max_classes + 1).collect()
+        if len(rows) <= max_classes:
             break
+    else:
+        raise RuntimeError(f"more than {max_classes} classes of components")
     quotas = place([(r.cls, r.n, tuple(r[c] / r.n for c in LABELS)) for r in rows], ratios)
     spans = []
     for cls, per_split in quotas.items():
@@ -212,7 +219,9 @@ def grouped_splits(pairs: DataFrame, plan: DataFrame) -> DataFrame:
     counts = [F.sum((F.col("label") == c).cast("long")).alias(c) for c in LABELS]
     groups = scratch.save(grouped.groupBy("group_key").agg(*counts), "groups")
     chosen = assign_splits(groups, plan, scratch)
-    heavy = heavy_hitters(grouped, ["group_key"], max(1.0, grouped.count() * HOT_SHARE))
+    # the groups are counted already
+    large = groups.select("group_key", sum((F.col(c) for c in LABELS[1:]), F.col(LABELS[0])).alias("n_rows"))
+    heavy = scratch.save(large.where(F.col("n_rows") >= max(1.0, pairs.count() * HOT_SHARE)).select("group_key"), "heavy")
     return skew_join(grouped, chosen, "group_key", heavy).select("pair_id", "group_id", "split")
 
 

@@ -1,9 +1,11 @@
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from pairdata import ent, pairs
-from pairloom.llm.grouped_splits import grouped_splits, place
+from pairloom.llm.grouped_splits import assign_splits, grouped_splits, place
+from pairloom.session import Scratch
 from test_components import brute
 
 PLAN = [("train", 0.7), ("val", 0.1), ("test", 0.2)]
@@ -55,3 +57,15 @@ def test_groups_stay_together(spark):
 
 def test_empty(spark):
     assert grouped_splits(pairs(spark, []), plan(spark)).count() == 0
+
+
+def test_too_many_classes_lose_no_group(spark):
+    rng = random.Random(2)
+    rows = [(f"g{i}", rng.randrange(1, 4000), rng.randrange(4000), rng.randrange(3)) for i in range(3000)]
+    groups = spark.createDataFrame(rows, "group_key string, positive long, negative long, other long")
+    scratch = Scratch(spark, "t")
+    for most in (100_000, 600):
+        got = assign_splits(groups, plan(spark), scratch, most).collect()
+        assert sorted(r.group_key for r in got) == sorted(r[0] for r in rows) and all(r.split for r in got)
+    with pytest.raises(RuntimeError):
+        assign_splits(groups, plan(spark), scratch, 20)
