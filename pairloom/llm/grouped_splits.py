@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from pairloom.llm.components import connected_components
+from pairloom.llm.match_groups import components_sql
 from pairloom.operators.entities import pair_ids, positive
 from pairloom.operators.skew import heavy_hitters, skew_join
 from pairloom.session import Scratch, table
@@ -248,4 +249,7 @@ def p1_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"p1_found": p1_found, "p1_splits": p1_splits, "p1_mix": p1_mix}
-SQL: dict[str, str] = {}
+SQL = {
+    "p1_found": components_sql("true") + """ SELECT pair_id, coalesce(cc.group_id, p.id) AS group_id
+      FROM (SELECT pair_id, coalesce(nullif("left".id, ''), nullif("right".id, '')) AS id FROM pairs) p LEFT JOIN cc ON cc.id = p.id WHERE p.id IS NOT NULL""",
+}

@@ -32,4 +32,18 @@ def p3_group_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"p3_found": p3_found, "p3_group_sizes": p3_group_sizes}
-SQL: dict[str, str] = {}
+
+def components_sql(linked: str) -> str:
+    """Recursive SQL: ``cc`` of ``id`` and ``group_id`` for the pairs that the condition links. The smallest id spreads along the edges."""
+    return f"""WITH RECURSIVE e AS (SELECT "left".id AS a, "right".id AS b FROM pairs WHERE "left".id <> '' AND "right".id <> '' AND "left".id <> "right".id AND {linked}),
+  edges AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+  cc(id, group_id) USING KEY (id) AS (
+    SELECT a, least(a, min(b)) FROM edges GROUP BY a
+    UNION SELECT n.id, n.g FROM (SELECT d.b AS id, min(cc.group_id) AS g FROM cc JOIN edges d ON cc.id = d.a GROUP BY d.b) n JOIN recurring.cc r ON r.id = n.id WHERE n.g < r.group_id)"""
+
+
+_POSITIVE = "coalesce(lower(trim(judgement)) = 'positive', false)"
+SQL = {
+    "p3_found": components_sql(_POSITIVE) + " SELECT id, group_id FROM cc",
+    "p3_group_sizes": components_sql(_POSITIVE) + " SELECT n_ids, count(*) AS n_groups FROM (SELECT count(*) AS n_ids FROM cc GROUP BY group_id) GROUP BY n_ids",
+}
