@@ -70,6 +70,71 @@ def few_shot_block(examples: Column) -> Column:
     return F.array_join(F.transform(examples, line), "\n\n")
 
 
+# The wording of examples in prompts, by the three forms in use.
+NUMBERED = {
+    "head": "Here are some examples:\n\n", "example": "Example {}:\n=== ENTITY A ===\n{}\n\n=== ENTITY B ===\n{}\n\nClassification: {}\nReasoning: {}\n---",
+    "between": "\n", "foot": "\n\nNow classify this pair:\n\n",
+}
+TITLED = {
+    "head": "Here are some examples of entity matching decisions:\n\n", "example": "=== EXAMPLE ===\nENTITY A:\n{}\n\nENTITY B:\n{}\n\nCLASSIFICATION: {}\nREASONING: {}",
+    "between": "\n\n", "foot": "\n\n=== NOW CLASSIFY THIS PAIR ===\n\n",
+}
+TITLED_REASONS = {
+    "positive": "Names are consistent (may be variations/transliterations), no contradictory evidence found. Default to positive when no conflicts exist.",
+    "negative": "Conflicting evidence found (different dates, identifiers, or other attributes) indicates different entities.",
+}
+NO_REASON = "Based on available evidence."
+ANSWER_ONLY = '\nRespond with only "positive" or "negative".'
+
+
+def filled(template: str, *values: Column) -> Column:
+    """A template's text with its places filled in turn; null is the empty text."""
+    parts = template.split("{}")
+    out = [F.lit(parts[0])]
+    for v, text in zip(values, parts[1:], strict=True):
+        out += [F.coalesce(v.cast("string"), F.lit("")), F.lit(text)]
+    return F.concat(*out)
+
+
+def numbered_examples(examples: Column) -> Column:
+    """Examples of ``a``, ``b``, ``label``, ``reasoning``, numbered from 1, up to where the pair asked for follows; empty for none."""
+    one = lambda x, i: filled(NUMBERED["example"], i + 1, x["a"], x["b"], x["label"], F.coalesce(x["reasoning"], F.lit(NO_REASON)))
+    block = F.concat(F.lit(NUMBERED["head"]), F.array_join(F.transform(examples, one), NUMBERED["between"]), F.lit(NUMBERED["foot"]))
+    return F.when(F.size(examples) > 0, block).otherwise(F.lit(""))
+
+
+def titled_examples(examples: Column) -> Column:
+    """Examples of ``a``, ``b``, ``label`` under titles, each with the standing reason of its label."""
+    reason = lambda x: F.when(x["label"] == "positive", TITLED_REASONS["positive"]).otherwise(TITLED_REASONS["negative"])
+    one = lambda x: filled(TITLED["example"], x["a"], x["b"], x["label"], reason(x))
+    return F.concat(F.lit(TITLED["head"]), F.array_join(F.transform(examples, one), TITLED["between"]), F.lit(TITLED["foot"]))
+
+
+def request(user: Column, system: str = SYSTEM, responses_api: bool = False) -> Column:
+    """The two messages of a request; the responses interface calls the first role developer."""
+    return messages(("developer" if responses_api else "system", F.lit(system)), ("user", user))
+
+
+# The wording of short reasons: property, text where both sides share a value or don't.
+SHORT_MATCHES = [("name", "names match or are variations"), ("birthDate", "birth dates match"), ("nationality", "nationalities match")]
+SHORT_CONFLICTS = [("birthDate", "different birth dates"), ("nationality", "different nationalities"), ("gender", "different genders")]
+SHORT_POSITIVE = "No contradictions found. {}. Same entity.", "No contradictory evidence found. Default to POSITIVE."
+SHORT_NEGATIVE = "Contradictions found: {}. Different entities.", "Explicit conflicts in identifying attributes. Different entities."
+
+
+def short_reasoning() -> Column:
+    """The short reason of a pair's judgement, from properties that both sides have values of; names needn't be equal."""
+    shared = lambda k: F.coalesce(F.arrays_overlap(prop("left", k), prop("right", k)), F.lit(False))
+    both = lambda k: (F.size(prop("left", k)) > 0) & (F.size(prop("right", k)) > 0)
+    joined = lambda xs: F.array_join(F.array_compact(F.array(*xs)), ", ")
+    yes = joined([F.when(both(k) & (F.lit(k == "name") | shared(k)), text) for k, text in SHORT_MATCHES])
+    no = joined([F.when(both(k) & ~shared(k), text) for k, text in SHORT_CONFLICTS])
+    capital = F.concat(F.upper(F.substring(yes, 1, 1)), F.substring(yes, F.lit(2), F.length(yes)))
+    positive = F.when(yes != "", filled(SHORT_POSITIVE[0], capital)).otherwise(SHORT_POSITIVE[1])
+    negative = F.when(no != "", filled(SHORT_NEGATIVE[0], no)).otherwise(SHORT_NEGATIVE[1])
+    return F.when(F.col("judgement") == "positive", positive).otherwise(negative)
+
+
 def _overlap(key: str) -> tuple[Column, Column]:
     l, r = prop("left", key), prop("right", key)
     has = lambda e: F.coalesce(F.map_contains_key(f"{e}.properties", key), F.lit(False))
@@ -105,13 +170,16 @@ def reasoning() -> Column:
 
 
 def json_text(c: Column) -> Column:
-    """A text as a JSON string with its quotes."""
+    """A text as a JSON string with its quotes, letters beyond ASCII escaped."""
     a = F.to_json(F.array(c))
-    return F.substring(a, F.lit(2), F.length(a) - 2)
+    plain = F.substring(a, F.lit(2), F.length(a) - 2)
+    units = lambda x: F.regexp_replace(F.lower(F.hex(F.encode(x, "UTF-16BE"))), "(.{4})", r"\\u$1")
+    escaped = F.array_join(F.transform(F.split(plain, ""), lambda x: F.when(F.octet_length(x) > 1, units(x)).otherwise(x)), "")
+    return F.when(F.octet_length(plain) == F.char_length(plain), plain).otherwise(escaped)
 
 
 def response() -> Column:
-    """The answer of a training record as JSON, blanks after commas and colons; letters beyond ASCII stay as they are."""
+    """The answer of a training record as JSON, blanks after commas and colons, letters beyond ASCII escaped."""
     part = lambda k, v: F.concat(F.lit(f'"{k}": '), json_text(v))
     fields = [part("classification", F.coalesce("judgement", F.lit(""))), part("confidence", F.lit("high")), part("reasoning", reasoning())]
     return F.concat(F.lit("{"), F.concat_ws(", ", *fields), F.lit("}"))

@@ -10,9 +10,12 @@ COUNTS = ["true_positive", "false_positive", "false_negative", "true_negative"]
 
 def confusion(truth: Column, predicted: Column) -> list[Column]:
     """The four counts in one pass; whatever isn't ``positive`` is negative, null included."""
+    return [F.count_if(c).alias(n) for n, c in zip(COUNTS, _cells(truth, predicted), strict=True)]
+
+
+def _cells(truth: Column, predicted: Column) -> list[Column]:
     t, p = (F.coalesce(c == "positive", F.lit(False)) for c in (truth, predicted))
-    cells = [t & p, ~t & p, t & ~p, ~t & ~p]
-    return [F.count_if(c).alias(n) for n, c in zip(COUNTS, cells, strict=True)]
+    return [t & p, ~t & p, t & ~p, ~t & ~p]
 
 
 def ratio(a: Column, b: Column) -> Column:
@@ -39,6 +42,15 @@ def evaluate(df: DataFrame, truth: str, predicted: str, *by: str) -> DataFrame:
     return metrics(df.groupBy(*by).agg(*confusion(F.col(truth), F.col(predicted))))
 
 
+def evaluate_batch(df: DataFrame, truth: str, predicted: str, error: str, *by: str) -> DataFrame:
+    """Metrics of the rows that have a truth and an answer, how many these are (``n_evaluated``) and how many failed."""
+    failed = F.col(error).isNotNull() | F.coalesce(F.col(predicted) == "error", F.lit(False))
+    used = F.col(truth).isNotNull() & F.col(predicted).isNotNull() & ~failed
+    cells = [F.count_if(used & c).alias(n) for n, c in zip(COUNTS, _cells(F.col(truth), F.col(predicted)), strict=True)]
+    extra = [F.count_if(used).alias("n_evaluated"), F.count_if(failed).alias("n_errors")]
+    return metrics(df.groupBy(*by).agg(*cells, *extra))
+
+
 def merge_partials(parts: DataFrame, *by: str) -> DataFrame:
     """Metrics from the counts of several chunks: the chunks' sums, as for all rows at once."""
     return metrics(parts.groupBy(*by).agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in COUNTS]))

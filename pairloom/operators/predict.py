@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ANSWER = "pair_id long, classification string, confidence string, reasoning string, error string"
@@ -57,3 +57,24 @@ def two_stage(pairs: DataFrame, first: Callable, second: Callable) -> DataFrame:
     open_ = one.where(F.col("classification").isin("uncertain", "error")).select("pair_id")
     two = predict(pairs.join(open_, "pair_id", "left_semi"), second)
     return one.join(open_, "pair_id", "left_anti").unionByName(two)
+
+
+SAID = "classification string, confidence string, reasoning string"
+
+
+def parse_response(raw: Column, classes: list[str] = CLASSES[:3]) -> Column:
+    """A model's JSON answer as ``classification, confidence, reasoning, error``.
+
+    What can't be read, lacks the class or names another one becomes an ``error`` row that says so; other fields are kept.
+    """
+    r = F.from_json(raw, SAID)
+    error = F.when(raw.isNull(), "no response").when(r["classification"].isNull(), "no classification in the response")
+    error = error.when(~r["classification"].isin(classes), F.concat(F.lit("unknown class: "), r["classification"]))
+    said = F.when(error.isNull(), r["classification"]).otherwise("error").alias("classification")
+    return F.struct(said, r["confidence"].alias("confidence"), r["reasoning"].alias("reasoning"), error.alias("error"))
+
+
+def tokens_used(usage: Column, responses_api: bool = False) -> Column:
+    """``prompt``, ``completion``, ``total`` from the usage of either interface."""
+    names = ("input_tokens", "output_tokens") if responses_api else ("prompt_tokens", "completion_tokens")
+    return F.struct(*[usage[n].cast("long").alias(k) for n, k in zip((*names, "total_tokens"), ("prompt", "completion", "total"), strict=True)])

@@ -11,7 +11,7 @@ from pairloom.functions.text import parse_label, prop, token_key
 from pairloom.operators import metrics as M
 from pairloom.operators.entities import positive
 from pairloom.operators.predict import agreement_predictor, predict
-from pairloom.operators.ranking import chunked
+from pairloom.operators.ranking import chunked, hash_order, ranked
 from pairloom.plans import sql as S
 from pairloom.session import spread, table
 
@@ -88,8 +88,10 @@ def fuzzy_scores(spark: SparkSession, d: str) -> DataFrame:
 
 def matcher_report(spark: SparkSession, d: str) -> DataFrame:
     """Entry point 1: score every pair once, tune the threshold on the dev half, report both halves."""
-    part = F.when(F.substring(F.md5(F.concat(F.lit("42|"), F.col("pair_id").cast("string"))), 1, 1) < "8", "dev").otherwise("test")
-    scored = fuzzy_scores(spark, d).withColumn("part", part)
+    ids = table(spark, d, "pairs").select("pair_id")
+    order = ranked(ids.withColumn("h", hash_order(42, F.col("pair_id"))), "h", "pair_id")
+    halves = order.select("pair_id", F.when(F.col("rank") < ids.count() // 2, "dev").otherwise("test").alias("part"))
+    scored = fuzzy_scores(spark, d).join(halves, "pair_id")
     swept = M.threshold_counts(scored, "score", "judgement", THRESHOLDS, "part")
     # a few dozen rows by now; the dev half's best threshold is spread over them without scoring again
     dev = F.when((F.col("part") == "dev") & (F.col("f1") > 0), F.struct("f1", (-F.col("threshold")).alias("below")))
@@ -135,7 +137,10 @@ SELECT pair_id, judgement, least(1.0::DOUBLE, (CASE WHEN
 _SWEEP = S.with_f1(f"""SELECT threshold, {S.cells('judgement', "CASE WHEN score >= threshold THEN 'positive' END")}
   FROM ({_SCORED}) CROSS JOIN (SELECT unnest({THRESHOLDS})::DOUBLE AS threshold) GROUP BY threshold""", "threshold")
 
+_WORDS = lambda e: f"[w for w in regexp_split_to_array(lower(coalesce(\"{e}\".caption, '')), '{S.WS}+') if w <> '']"
+_STUB = f"SELECT judgement, CASE WHEN list_has_any({_WORDS('left')}, {_WORDS('right')}) THEN 'positive' ELSE 'negative' END AS said FROM pairs"
 SQL = {
+    "stub_evaluation": S.with_f1(f"SELECT {S.cells('judgement', 'said')} FROM ({_STUB})", ""),
     "confusion_metrics": S.with_f1(f"SELECT run_id, {_CELLS} FROM predictions GROUP BY run_id", "run_id"),
     "confusion_skipping_errors": S.with_f1(f"SELECT {_CELLS} FROM predictions WHERE classification NOT IN ('error', 'uncertain')", ""),
     "confusion_by_chunk": f"""SELECT CAST({_CHUNK} AS BIGINT) AS chunk, tp AS true_positive, fp AS false_positive, fn AS false_negative, tn AS true_negative

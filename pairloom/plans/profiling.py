@@ -12,7 +12,7 @@ from pairloom.operators import profile as P
 from pairloom.plans import sql as S
 from pairloom.session import table
 
-CUTOFF = "2025-07-01"
+CUTOFF = "2023-01-01"
 
 
 def _pairs(spark: SparkSession, d: str) -> DataFrame:
@@ -164,7 +164,7 @@ def alias_flags(spark, d):
 
 
 def names_of_first(spark, d):
-    return E.first_seen(_pairs(spark, d)).select("id", F.size(X.names_of("e")).alias("n_names"))
+    return E.first_seen(_pairs(spark, d)).select("id", F.to_json(X.names_of("e")).alias("names"))
 
 
 _FUNCTIONS = [
@@ -253,6 +253,5 @@ SQL = {
     "listing_span": f"WITH {S.FIRST} SELECT min(nullif(e.first_seen[1:10], '')) AS first, max(nullif(e.last_seen[1:10], '')) AS last FROM firsts",
     "alias_flags": f"""WITH {S.FIRST} SELECT avg((len({S.prop('e', 'alias')}) > 0 OR len({S.prop('e', 'weakAlias')}) > 0)::INT) AS share_with_alias,
       avg(len({S.prop('e', 'name')}) + len({S.prop('e', 'alias')}) + len({S.prop('e', 'weakAlias')})) AS mean_names FROM firsts""",
-    "names_of_first": f"""WITH {S.FIRST} SELECT id, CAST(len([v for v in {' || '.join(S.prop('e', k) for k in ('name', 'alias', 'weakAlias', 'firstName', 'middleName', 'lastName'))}
-      if {S.norm('v')} <> '']) AS INT) AS n_names FROM firsts""",
+    "names_of_first": f"""WITH {S.FIRST} SELECT id, CAST(to_json([v for v in {' || '.join(S.prop('e', k) for k in X.NAME_KEYS)} if {S.norm('v')} <> '']) AS VARCHAR) AS names FROM firsts""",
 }

@@ -109,7 +109,30 @@ def _reasoning() -> str:
       FROM (SELECT pair_id, judgement, {join(ev)} AS e, {join(co)} AS c FROM pairs)"""
 
 
+def _escaped(x: str) -> str:
+    """A text as a JSON string with escapes beyond ASCII; letters above 16 bits by two."""
+    u = "lpad(lower(to_hex({})), 4, '0')"
+    two = f"'\\u' || {u.format('55296 + ((unicode(c) - 65536) >> 10)')} || '\\u' || {u.format('56320 + ((unicode(c) - 65536) & 1023)')}"
+    one = f"CASE WHEN unicode(c) < 128 THEN c WHEN unicode(c) < 65536 THEN '\\u' || {u.format('unicode(c)')} ELSE {two} END"
+    return f"array_to_string([{one} for c in string_split(to_json({x})::VARCHAR, '')], '')"
+
+
+_USER = f"{_q(T.PAIR_HEAD)} || {_entity('left')} || {_q(T.PAIR_MIDDLE)} || {_entity('right')} || {_q(T.PAIR_SEARCH)}"
+_ANSWER = f"""'{{"classification": ' || {_escaped("coalesce(judgement, '')")} || ', "confidence": "high", "reasoning": ' || {_escaped('reasoning')} || '}}'"""
+
+
+def _record_sql(record: str) -> str:
+    return f"SELECT pair_id, CAST(to_json({record}) AS VARCHAR) AS record FROM (SELECT pair_id, {_USER} AS user_text, {_ANSWER} AS answer FROM pairs JOIN ({_reasoning()}) USING (pair_id))"
+
+
+def _turns(role: str, text: str, roles: tuple[str, str, str]) -> str:
+    return "[" + ", ".join(f"{{'{role}': '{r}', '{text}': {v}}}" for r, v in zip(roles, (_q(T.SYSTEM), "user_text", "answer"), strict=True)) + "]"
+
+
 SQL = {
+    "sft_openai": _record_sql(f"{{'messages': {_turns('role', 'content', ('system', 'user', 'assistant'))}}}"),
+    "sft_alpaca": _record_sql(f"{{'instruction': {_q(T.SYSTEM)}, 'input': user_text, 'output': answer}}"),
+    "sft_sharegpt": _record_sql(f"{{'conversations': {_turns('from', 'value', ('system', 'human', 'gpt'))}}}"),
     "format_entity": f"SELECT pair_id, {_entity('left')} AS left_text, {_entity('right')} AS right_text FROM pairs",
     "format_entity_prompt": f"SELECT pair_id, {_prompt('left')} AS left_text FROM pairs",
     "format_entity_short": f"SELECT pair_id, {_prompt('right', 3)} AS right_text FROM pairs",

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -11,20 +12,22 @@ from pairloom import schema as Z
 
 
 def with_ordinal(df: DataFrame, name: str = "pair_id") -> DataFrame:
-    """Numbers the rows in file order, dense from 0. Done once at ingest, for a scan whose partitions follow the files.
+    """Numbers the rows in file order, dense from 0: files by name, rows by place. Done once at ingest, on a plain scan.
 
-    A row's partition and its place there come from the scan; the partitions' sizes, a table as small as they are few,
-    say where each one starts. No row is shuffled.
+    A scan packs blocks of files into tasks by size, but reads each block in one task from start to end. So a row's place
+    is that within its block and the number of rows in the blocks before; the table of blocks has a row for some 100 MB
+    of input. No row is shuffled. A frame that comes from no file is numbered in the order of its partitions.
     """
     bits = 33  # the partition stands above these bits
     rows = df.withColumn("_m", F.monotonically_increasing_id())
-    part = F.shiftright("_m", bits)
-    sizes = rows.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
-    before = F.coalesce(F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    starts = F.broadcast(sizes.select("_part", before.alias("_start")))
-    placed = rows.withColumn("_part", part).join(starts, "_part")
-    place = F.col("_m") - F.shiftleft(F.col("_part"), bits) + F.col("_start")
-    return placed.select(place.alias(name), *df.columns)
+    try:
+        rows = rows.select("*", F.col("_metadata.file_path").alias("_f"), F.col("_metadata.file_block_start").alias("_b"))
+    except AnalysisException:
+        rows = rows.withColumns({"_f": F.lit(""), "_b": F.shiftright("_m", bits)})
+    blocks = rows.groupBy("_f", "_b").agg(F.count(F.lit(1)).alias("_n"), F.min("_m").alias("_first"))
+    before = F.coalesce(F.sum("_n").over(W.orderBy("_f", "_b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    placed = rows.join(F.broadcast(blocks.select("_f", "_b", "_first", before.alias("_start"))), ["_f", "_b"])
+    return placed.select((F.col("_m") - F.col("_first") + F.col("_start")).alias(name), *df.columns)
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: T.StructType = Z.RAW_PAIR, on_error: str = "fail") -> DataFrame:
@@ -94,10 +97,7 @@ def silver(pairs: DataFrame) -> DataFrame:
 
 def read_through(spark: SparkSession, source: str, cache: str, use_cache: bool = True) -> DataFrame:
     """The columnar copy of a raw file: read where it is there, else written from the file."""
-    jvm = spark._jvm  # noqa: SLF001
-    at = jvm.org.apache.hadoop.fs.Path(f"{cache}/_SUCCESS")
-    there = at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)  # noqa: SLF001
-    if not (use_cache and there):
+    if not (use_cache and _exists(spark, f"{cache}/_SUCCESS")):
         silver(read_pairs(spark, source)).repartition(spark.sparkContext.defaultParallelism).write.mode("overwrite").parquet(cache)
     return spark.read.parquet(cache)
 
@@ -122,13 +122,44 @@ def read_experiments(spark: SparkSession, path: str) -> DataFrame:
     return read_jsonl(spark, path, Z.EXPERIMENT)
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)  # noqa: SLF001
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)  # noqa: SLF001
+
+
 def read_prompts(spark: SparkSession, path: str) -> DataFrame:
-    """The prompt registry's entries with their position."""
+    """The prompt registry's entries with their position; a registry that isn't there has none."""
     doc = T.StructType([T.StructField("prompts", T.ArrayType(Z.PROMPT))])
-    d = spark.read.schema(doc).option("multiLine", True).json(path)
+    d = spark.read.schema(doc).option("multiLine", True).json(path) if _exists(spark, path) else spark.createDataFrame([], doc)
     return d.select(F.posexplode("prompts").alias("position", "p")).select("position", "p.*")
 
 
+def read_test_pairs(spark: SparkSession, path: str, raw: str, limit: int | None = None) -> DataFrame:
+    """The JSON lines at ``path``, or the raw file where they are missing; the first ``limit`` by position, if given."""
+    pairs = read_pairs(spark, path, "jsonl") if _exists(spark, path) else read_pairs(spark, raw)
+    return pairs if limit is None else head_rows(pairs, limit)
+
+
+def read_curated(spark: SparkSession, path: str, n: int | None = None) -> DataFrame:
+    """Curated examples, a list or a document with ``examples``; the first n, if given. None where the file is missing."""
+    if not _exists(spark, path):
+        return spark.createDataFrame([], Z.PAIR)
+    if sniff(spark, path) == "array":
+        rows = with_ordinal(read_array(spark, path))
+    else:
+        doc = T.StructType([T.StructField("examples", T.ArrayType(Z.RAW_PAIR))])
+        d = spark.read.schema(doc).option("multiLine", True).json(path)
+        rows = d.select(F.posexplode("examples").alias("pair_id", "p")).select(F.col("pair_id").cast("long"), "p.*")
+    return rows if n is None else head_rows(rows, n)
+
+
+def read_checksums(spark: SparkSession, path: str) -> DataFrame:
+    """``name``, ``digest`` of a metadata document that maps files to checksums under ``checksums``."""
+    doc = T.StructType([T.StructField("checksums", T.MapType(T.StringType(), T.StringType()))])
+    d = spark.read.schema(doc).option("multiLine", True).json(path)
+    return d.select(F.explode("checksums").alias("name", "digest"))
+
+
 def read_chunks(spark: SparkSession, folder: str, n_chunks: int) -> tuple[DataFrame, list[int]]:
     """All chunk files of a folder, whichever key style their counts have, and the chunks that are missing."""
     counts = T.StructType([T.StructField(c, T.LongType()) for c in ("tp", "fp", "fn", "tn", "true_positive", "false_positive", "false_negative", "true_negative")])

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
@@ -20,9 +19,33 @@ def write_jsonl(df: DataFrame, path: str, record: Column | None = None) -> int:
 
 
 def write_sample(pairs: DataFrame, path: str, metadata: dict) -> None:
-    """A sample document of metadata and pairs in order of position, for samples that fit the driver."""
-    rows = pairs.orderBy("pair_id").drop("pair_id").toJSON().collect()
-    Path(path).write_text(json.dumps({"metadata": metadata}, ensure_ascii=False)[:-1] + ', "pairs": [' + ",\n".join(rows) + "]}", "utf-8")
+    """A sample document of metadata and pairs in order of position, for samples that fit one file.
+
+    One task writes it, line by line, in the shared file system; nothing comes to the driver.
+    """
+    spark = pairs.sparkSession
+    head = json.dumps({"metadata": metadata}, ensure_ascii=False)[:-1] + ', "pairs": ['
+    rows = pairs.select(F.col("pair_id").alias("at"), F.to_json(F.struct(*[c for c in pairs.columns if c != "pair_id"])).alias("value"))
+    least = pairs.agg(F.min("pair_id")).first()[0]
+    rows = rows.select("at", F.concat(F.when(F.col("at") == F.lit(least), "").otherwise(","), "value").alias("value"))
+    ends = spark.createDataFrame([(-1, head), (2**62, "]}")], "at long, value string")
+    rows.unionByName(ends).repartition(1).sortWithinPartitions("at").select("value").write.mode("overwrite").text(path)
+
+
+def write_chunks(counts: DataFrame, path: str) -> None:
+    """One document for each row of counts, ``chunk_id`` and its ``metrics``, named as the reader of chunks expects."""
+    spark = counts.sparkSession
+    fs = spark._jvm.org.apache.hadoop.fs  # noqa: SLF001
+    folder = fs.Path(path)
+    system = folder.getFileSystem(spark._jsc.hadoopConfiguration())  # noqa: SLF001
+    rest = [c for c in counts.columns if c != "chunk_id"]
+    rows = counts.select("chunk_id", F.struct(*rest).alias("metrics"), F.col("chunk_id").alias("folder"))
+    rows.write.mode("overwrite").partitionBy("folder").json(f"{path}/parts")
+    # a rename for each file, of which there are as many as chunks
+    for part in system.globStatus(fs.Path(f"{path}/parts/folder=*/*.json")):
+        chunk = part.getPath().getParent().getName().split("=")[1]
+        system.rename(part.getPath(), fs.Path(f"{path}/chunk_{int(chunk):02d}.json"))
+    system.delete(fs.Path(f"{path}/parts"), True)
 
 
 def write_training(pairs: DataFrame, path: str, kinds: tuple[str, ...] = ("openai", "alpaca", "sharegpt")) -> None:
