@@ -40,6 +40,8 @@ COUNTRIES = [
 UNITS = ["flat", "apartment", "apt", "unit", "office", "suite", "room", "kv", "ofis", "piso", "wohnung"]
 HOUSES = ["house", "haus", "dom", "d", "no", "nr", "num", "nº", "n°", "n", "№"]
 TOWNS = ["g", "gorod"]
+#: Words that are part of the street's name where they stand before it.
+BEFORE_NAMES = ["north", "south", "east", "west", "upper", "lower", "old", "new", "great", "little", "saint", "san", "santa"]
 
 _KINDS = {w: (k, where) for where, t in (("b", NAME_BEFORE), ("a", NAME_AFTER), ("e", NAME_EITHER)) for k, ws in t.items() for w in ws}
 _SUFFIX = [(s, k) for k, ss in SUFFIXES.items() for s in sorted(ss, key=len, reverse=True)]
@@ -49,6 +51,8 @@ _PREFIXED = re.compile(r"(?<!\w)(?:usa|us|uk|gb|ru|es|de|fr)\s*-\s*(?=\d)")
 _HOUSE = re.compile(r"(?<!\w)(?:" + "|".join(HOUSES) + r")\.?\s*(\d{1,5})(?:\s*-?\s*([a-d]))?(?!\w)")
 _NUMBER = re.compile(r"(?<!\w)(\d{1,5})(?:\s?-?\s?([a-d]))?(?!\w)")
 _SIX = re.compile(r"(?<![\w-])(?:(\d{2})-(\d{4})|(\d{6}))(?![\w-])")
+_SHORT_CODE = re.compile(r"(?<![\w-])\d{4,5}(?![\w-])")
+_LETTER_CODE = re.compile(r"(?<!\w)([A-Z]{1,2}\d[A-Z\d]?) (\d[A-Z]{2})(?!\w)")
 _THREES = re.compile(r"(?<![\w-])\d{3}(?: \d{3})+(?![\w-])")
 
 
@@ -64,10 +68,14 @@ def _clean(text: str) -> str:
 def address_forms(text: str | None) -> list[tuple[str, str, str, str, str]]:
     """All plausible ``(street, kind, house, town, postcode)`` of one address; parts that are missing are empty.
 
-    Nothing comes of null, blank or unreadable text, nor of one without a street or a house number.
+    Nothing comes of null, blank or unreadable text, nor of one without a street or a house number. Where no word names the
+    kind of street, the words beside the house number are the street, without a kind.
     """
     if not text or not text.strip():
         return []
+    lettered = _LETTER_CODE.search(text)
+    if lettered:
+        text = text[: lettered.start()] + " , " + text[lettered.end() :]
     rest = _COUNTRY.sub(" ; ", _PREFIXED.sub("", _clean(text)))
     without = _UNIT.sub(" ", rest)
     if re.search(r"\d", _SIX.sub(" ", without)) is None:
@@ -83,6 +91,14 @@ def address_forms(text: str | None) -> list[tuple[str, str, str, str, str]]:
             for i in range(len(threes) - 1):
                 left, right = " ".join(threes[:i]), " ".join(threes[i + 2 :])
                 codes.append((threes[i] + threes[i + 1], f"{rest[: m.start()]} {left} ; {right} {rest[m.end() :]}"))
+    if not codes:
+        # a number of four or five digits is a postcode where another number can be the house's
+        for m in _SHORT_CODE.finditer(rest):
+            body = f"{rest[: m.start()]} ; {rest[m.end() :]}"
+            if _NUMBER.search(body):
+                codes.append((m.group(), body))
+    if lettered:
+        codes = [("".join(lettered.groups()).lower(), body) for _, body in codes or [("", rest)]]
     forms = set()
     for code, body in codes or [("", rest)]:
         for house, words in _houses(body):
@@ -92,9 +108,33 @@ def address_forms(text: str | None) -> list[tuple[str, str, str, str, str]]:
         for house, words in _houses(rest):
             for street, kind, town in _streets(words):
                 forms.add((street, kind, house, town, ""))
+    if not forms:  # no word says what kind of street it is: the street is what stands with the house number
+        for code, body in codes or [("", rest)]:
+            for house, words in _houses(body):
+                forms |= {(street, "", house, town, code) for street, town in _unnamed(words)}
     return sorted(forms)
 
 
+def _segments(body: str) -> list[list[str]]:
+    """The words of each part of an address, with the house number's place."""
+    segments = []
+    for part in re.split(r"[,;]|(?<!c)/| - ", body):
+        words = [w.strip(".'\"()-") if w not in ("c/", "\0") else w for w in part.split()]
+        words = [w for w in words if w and not w.isdigit() and w not in TOWNS]
+        if words:
+            segments.append(words)
+    return segments
+
+
+def _unnamed(body: str):
+    """The words that stand with the house number as a street, those of all other parts as a town."""
+    segments = _segments(body)
+    long = lambda ws: phonetic("".join(w for w in ws if len(w) > 2 and w not in UNITS and w not in HOUSES))
+    for s, words in enumerate(segments):
+        if "\0" in words and long(words):
+            yield long(words), long([w for t, ws in enumerate(segments) if t != s for w in ws])
+
+
 def _houses(body: str):
     """Each number that can be the house's, and the words without it."""
     m = _HOUSE.search(body)
@@ -107,12 +147,7 @@ def _houses(body: str):
 
 def _streets(body: str):
     """Each reading of the words as a street and a town."""
-    segments = []
-    for part in re.split(r"[,;]|(?<!c)/| - ", body):
-        words = [w.strip(".'\"()-") if w not in ("c/", "\0") else w for w in part.split()]
-        words = [w for w in words if w and not w.isdigit() and w not in TOWNS]
-        if words:
-            segments.append(words)
+    segments = _segments(body)
     for s, words in enumerate(segments):
         for i, w in enumerate(words):
             for name, kind, used in _readings(words, i, w):
@@ -127,9 +162,11 @@ def _readings(words: list[str], i: int, w: str):
         ok = lambda j: 0 <= j < len(words) and words[j] != "\0" and len(words[j]) > 2 and words[j] not in _KINDS
         before, after = ok(i - 1), ok(i + 1)
         if before and (where in "be" or not after):
-            yield words[i - 1], kind, {i - 1, i}
+            more = i >= 2 and words[i - 2] in BEFORE_NAMES
+            yield (words[i - 2] if more else "") + words[i - 1], kind, {i - 2 if more else i, i - 1, i}
         if after and (where in "ae" or not before):
-            yield words[i + 1], kind, {i, i + 1}
+            more = i + 2 < len(words) and words[i + 1] in BEFORE_NAMES and words[i + 2] != "\0"
+            yield words[i + 1] + (words[i + 2] if more else ""), kind, {i, i + 1, i + 2 if more else i}
         return
     for suffix, kind in _SUFFIX:
         if w.endswith(suffix) and len(w) > len(suffix) + 2:
