@@ -204,6 +204,11 @@ def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoded(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def p8_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same ids with leaves so short that the longer documents of the tables need several."""
+    return encoded(table(spark, sf_dir, "documents").select("doc_id", "text"), leaf=1_024)
+
+
 def p8_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents, ids and ids per character by language as stored."""
     d = table(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars", "text")
@@ -213,5 +218,5 @@ def p8_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"p8_ids": p8_ids, "p8_lengths": p8_lengths}
+QUERIES = {"p8_ids": p8_ids, "p8_tree": p8_tree, "p8_lengths": p8_lengths}
 SQL: dict[str, str] = {}
