@@ -241,8 +241,7 @@ def same_building(values: DataFrame) -> DataFrame:
     named = scratch.save(filled.select("address", *part, "code", name[0].alias("f1"), name[1].alias("f2")), "forms")
     codes = F.collect_set(F.when(F.col("code") != "", F.col("code")))
     distinct = scratch.save(named.groupBy("f1", "f2", *part).agg(codes.alias("codes")), "distinct")
-    keys = spread(distinct).mapInPandas(_keys, "f1 long, f2 long, key long").distinct()
-    keys = scratch.save(keys, "keys")
+    keys = scratch.save(spread(distinct).mapInPandas(_keys, "f1 long, f2 long, key long"), "keys")
     left = keys.select("key", F.col("f1").alias("a1"), F.col("f2").alias("a2"))
     right = keys.select("key", F.col("f1").alias("b1"), F.col("f2").alias("b2"))
     met = left.join(right, "key").where("a1 < b1 or (a1 = b1 and a2 < b2)").select("a1", "a2", "b1", "b2").distinct()
